@@ -71,8 +71,8 @@ def top_word_share(b: TextBatch) -> np.ndarray:
 
 RULES = tuple(Rule(f.__name__, f) for f in (mean_word_length, symbol_share, capital_share, letter_share, repeated_lines, stuttering, top_word_share))
 
-#: Documents that calibration looks at, at most.
-SAMPLE_ROWS = 400
+#: Calibration looks at this many runs of documents of about 64 KB, at most.
+SAMPLE_RUNS = 48
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -89,17 +89,17 @@ class Measured:
         return self.rejects / max(self.seconds, 1e-12)
 
 
-def calibrate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
+def calibrate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_runs: int = SAMPLE_RUNS) -> list[Measured]:
     """Cost and selectivity of each rule, the most rejecting for its cost first.
 
-    At most `sample_rows` documents are measured, on the executors; only one
-    small row for each document and rule comes back.  Spark reads partitions
-    until it has enough rows, so a large table isn't scanned.
+    The executors measure the first `sample_runs` runs of documents; one small
+    row for each run and rule comes back.  Spark begins with one partition and
+    goes on only if it has too few, so a large table isn't scanned.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, b in chunks(batch, text, 64 << 10):
+            for _, b in chunks(batch, "__text", 64 << 10):
                 rows = {"rule": [], "ns": [], "rejected": [], "docs": []}
                 for k, rule in enumerate(rules):
                     fresh = TextBatch(b.data, b.bounds)
@@ -111,10 +111,12 @@ def calibrate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
                     rows["docs"].append(b.n)
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(c, pa.int64()) for c in rows]))
 
-    found = df.select(text).limit(sample_rows).mapInArrow(measure, "rule long, ns long, rejected long, docs long")
-    sums = found.groupBy("rule").agg(F.sum("ns").alias("ns"), F.sum("rejected").alias("rejected"), F.sum("docs").alias("docs")).collect()
-    got = {r["rule"]: r for r in sums}
-    out = [Measured(rule.name, got[k]["ns"] / 1e9 / got[k]["docs"], got[k]["rejected"] / got[k]["docs"]) if k in got else Measured(rule.name, 0.0, 0.0) for k, rule in enumerate(rules)]
+    found = df.select(F.col(text).alias("__text")).mapInArrow(measure, "rule long, ns long, rejected long, docs long").limit(sample_runs * len(rules)).collect()
+    out = []
+    for k, rule in enumerate(rules):
+        own = [r for r in found if r["rule"] == k]
+        docs = max(sum(r["docs"] for r in own), 1)
+        out.append(Measured(rule.name, sum(r["ns"] for r in own) / 1e9 / docs, sum(r["rejected"] for r in own) / docs))
     return sorted(out, key=lambda m: (-m.worth, m.name))
 
 
@@ -152,14 +154,14 @@ def base_statistics(b: TextBatch) -> dict[str, np.ndarray]:
     return out
 
 
-def quality_rules(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_rules(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", key: str = "doc_id", sample_runs: int = SAMPLE_RUNS) -> DataFrame:
     """key, base statistics, base_failed and kept for every row of df.
 
     kept is false where the base rules fail, else the cascade's verdict.  A
     null text has zero counts, fails and isn't kept.  Repeated rows and ties
     are judged row by row; other columns of df aren't read.
     """
-    order = in_order(rules, calibrate(df, rules, text, sample_rows))
+    order = in_order(rules, calibrate(df, rules, text, sample_runs))
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     source = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
