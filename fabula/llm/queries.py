@@ -35,6 +35,21 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs)).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -57,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_pii, op8_mixing, op9_quality_classifier, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_pii, op4_language_id, op5_toxicity, op8_mixing, op9_quality_classifier, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
