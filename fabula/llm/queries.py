@@ -29,6 +29,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest, find_pii
 
@@ -72,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_pii, op4_language_id, op5_toxicity, op8_mixing, op9_quality_classifier, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_pii, op4_language_id, op5_toxicity, op8_mixing, op9_quality_classifier, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
