@@ -56,6 +56,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    done = dedup_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "words_before", "words_left", "lines_deleted", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -78,7 +85,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_pii, op4_language_id, op5_toxicity, op8_mixing, op9_quality_classifier, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_pii, op4_language_id, op5_toxicity, op7_line_dedup, op8_mixing, op9_quality_classifier, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
