@@ -56,6 +56,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -85,7 +91,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_pii, op4_language_id, op5_toxicity, op7_line_dedup, op8_mixing, op9_quality_classifier, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_pii, op4_language_id, op5_toxicity, op6_vector_dedup, op7_line_dedup, op8_mixing, op9_quality_classifier, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
