@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textbatch import chunks
-from .tokens import WordTokenizer, ragged
+from .tokens import ragged, word_tokenizer
 
 WINDOW = 4096
 END = 2
@@ -151,7 +151,7 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "do
     """doc_id and ids (little-endian unsigned 32-bit, `end` last) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         for batch in batches:
             for part, b in chunks(batch, "__text"):
                 ids, bounds = words.encode(b)

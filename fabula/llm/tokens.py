@@ -7,13 +7,22 @@ task and kept, and texts are put together from these by array lookups.
 
 from __future__ import annotations
 
+import os
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 
 from .textbatch import TextBatch
 
-#: Words kept at a time; beyond that all are forgotten and encoded anew when met.
-MOST_WORDS = 300_000
+#: Words kept at a time (about 40 bytes each); beyond that all are forgotten and encoded anew when met.
+MOST_WORDS = 1_500_000
+#: Words encoded in one call.
+AT_ONCE = 4096
+
+#: Latin letters up to here are letters in every version of Unicode and composed already.
+_PLAIN_LETTERS = "\u024f"
+_STOPS = ".,;:!?"
 
 
 class WordTokenizer:
@@ -21,20 +30,55 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        # the characters that stand for bytes in the vocabulary
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(ord(_PLAIN_LETTERS) + 1) if chr(i).isalpha()}
         self._forget()
 
+    def _plain(self, word: str) -> list[int] | None:
+        """Ids of letters with stops after them, straight from the model: the normaliser
+        only lower-cases these, and letters and stops are pre-tokens of their own."""
+        core = word.rstrip(_STOPS)
+        if not core.isalpha() or max(core) > _PLAIN_LETTERS:
+            return None
+        lower = core.lower()
+        if not lower.isalpha():
+            return None
+        if not lower.isascii():
+            lower = lower.translate(self.bytes_of)
+        model = self.tokenizer.model
+        out = [t.id for t in model.tokenize(lower)]
+        if len(core) < len(word):
+            tail = word[len(core) :]
+            if tail not in self.stops:
+                self.stops[tail] = [t.id for t in model.tokenize(tail)]
+            out += self.stops[tail]
+        return out
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        out = [self._plain(w) for w in words]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for at in range(0, len(rest), AT_ONCE):
+            some = rest[at : at + AT_ONCE]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
+
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted hashes of known words
         self.place = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.stops: dict[str, list[int]] = {}
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         if len(self.keys) + len(hashes) > MOST_WORDS:
             self._forget()
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        encoded = self._encode(words)
         known = len(self.starts) - 1
         sizes = np.array([len(x) for x in encoded], np.int64)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
@@ -65,6 +109,12 @@ class WordTokenizer:
         return self.ids[at], upto[b.word_bounds]
 
 
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, so that its words serve all of the worker's tasks."""
+    return WordTokenizer(path)
+
+
 def ragged(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Binary values, one for each pair of bounds."""
     width = values.dtype.itemsize
