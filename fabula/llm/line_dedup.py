@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import settle
+from .scratch import gathered, settle
 from .textbatch import TextBatch, chunks
 
 MIN_WORDS = 50
@@ -107,7 +107,7 @@ def _by_document(df: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBat
         if size:
             yield from work(pa.Table.from_batches(held))
 
-    return df.repartition("doc").sortWithinPartitions("doc", "at").mapInArrow(run, schema)
+    return gathered(df, ["doc"], ["at"]).mapInArrow(run, schema)
 
 
 def _segment_bounds(doc: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -42,3 +43,13 @@ def drop(df: DataFrame | None) -> None:
     for file in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def gathered(df: DataFrame, keys: list[str], then: list[str] | None = None) -> DataFrame:
+    """df with the rows of a key in one partition and next to each other, in order of `then`.
+
+    Partitioned by a hash column of its own: an exchange by the keys themselves could be
+    left out after a join on them, and adaptive execution may then read that join's
+    partitions piecemeal, for it doesn't know that a Python function needs them whole.
+    """
+    return df.repartition(F.xxhash64(*keys, F.lit(11))).sortWithinPartitions(*keys, *(then or []))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import drop, settle
+from .scratch import drop, gathered, settle
 
 THRESHOLD = 0.98
 LIST = 10
@@ -84,7 +84,7 @@ def _by_key(df: DataFrame, keys: list[str], then: list[str], work: Callable[[pa.
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(run, schema)
+    return gathered(df, keys, then).mapInArrow(run, schema)
 
 
 def _nodes(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
