@@ -19,10 +19,10 @@ class, known by a fingerprint; the join works on classes.
    leave enough in common (suffix filter).
 4. Verification.  Each candidate pair is counted exactly, once.  What is wanted
    is components, so pairs that are already known to be connected needn't be
-   looked at.  The first rounds verify one chain of candidates through each
-   prefix shingle's documents, which connects large groups of copies without
-   making all of their pairs; the last round takes every remaining candidate
-   pair between different components.
+   looked at.  The first rounds verify a chain of candidates through each rare
+   prefix shingle's documents, then some partners of what is still apart, which
+   connects large groups of copies without making all of their pairs; the last
+   round takes every remaining candidate pair between different components.
 
 Shingles are told apart by 48 bits of a 64-bit hash, sets by 64 bits and their
 size.  Words are runs of anything but space and U+0009-U+000D; A-Z count as a-z.
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import settle
+from .scratch import gathered, settle
 from .textbatch import TextBatch, chunks, mix
 
 N = 5
@@ -59,7 +59,10 @@ HOT_IN_RUN, HOT_SHARE = 12, 50
 #: So there are at most HOT_TOTAL times as many as a document has on average.
 HOT_DOCS, HOT_TOTAL = 2000, 200
 HOT_RANK = 0xFFFFFFFF
-CELLS = 64
+CELLS = 256
+
+#: Partners that a document tries at a shingle in a round, and the most rounds before all pairs are tried.
+TOSSES, CHAINS = 2, 3
 
 _U = np.uint64
 _LOW = _U(0xFFFF)
@@ -343,7 +346,7 @@ _ALIVE_SCHEMA = pa.schema([("mark", pa.int64()), ("size", pa.int64()), ("alone",
 
 # ---- step 3: candidates ------------------------------------------------------------
 
-_POSTED = "shingle long, mark long, size long, at long, cells binary, root long"
+_POSTED = "shingle long, mark long, size long, at long, root long"
 
 
 def _postings(alive: DataFrame, first: int | None = None) -> DataFrame:
@@ -360,7 +363,7 @@ def _postings(alive: DataFrame, first: int | None = None) -> DataFrame:
                 which = pa.array(np.repeat(np.arange(len(n)), n))
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 places = pa.array(np.repeat(part.column("alone").to_numpy(), n) + place)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), part.column("mark").take(which), part.column("size").take(which), places, part.column("cells").take(which), part.column("root").take(which)], names=["shingle", "mark", "size", "at", "cells", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), part.column("mark").take(which), part.column("size").take(which), places, part.column("root").take(which)], names=["shingle", "mark", "size", "at", "root"])
 
     return alive.mapInArrow(run, _POSTED)
 
@@ -378,26 +381,58 @@ def _allowed(i: np.ndarray, j: np.ndarray, size: np.ndarray, at: np.ndarray, cel
     return ok
 
 
-def _candidates(postings: DataFrame, chain: bool, percent: int) -> DataFrame:
+def _chained(shingle: np.ndarray, mark: np.ndarray, size: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    toss = mix(mark.view(np.uint64) ^ mix(shingle.view(np.uint64)))
+    order = np.lexsort((toss, size, shingle))
+    i, j = order[:-1], order[1:]
+    other = (shingle[i] == shingle[j]) & (root[i] != root[j])
+    return i[other], j[other]
+
+
+def _tossed(shingle: np.ndarray, mark: np.ndarray, root: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((mark, root, shingle))
+    s, r = shingle[order], root[order]
+    starts = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])]))
+    sizes = np.diff(np.append(starts, len(s)))
+    # the largest component of each shingle
+    by_size = np.lexsort((starts, -sizes, s[starts]))
+    largest = np.zeros(len(starts), bool)
+    largest[by_size[np.concatenate([[True], s[starts][by_size][1:] != s[starts][by_size][:-1]])]] = True
+    asks = np.flatnonzero(~np.repeat(largest, sizes))
+    first, last = runs(s)
+    which = np.searchsorted(first, asks, side="right") - 1
+    found_i, found_j = [], []
+    for k in range(TOSSES):
+        toss = mix(mark[order][asks].view(np.uint64) ^ mix(s[asks].view(np.uint64) + _U(seed * TOSSES + k)))
+        other = first[which] + (toss % (last - first)[which].astype(np.uint64)).astype(np.int64)
+        apart = r[other] != r[asks]
+        found_i.append(order[asks[apart]])
+        found_j.append(order[other[apart]])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def _apart(alive: DataFrame, first: int | None) -> DataFrame:
+    """Postings of the shingles that different components have, with the cells of their classes."""
+    light = _postings(alive.drop("common", "cells"), first)
+    mixed = light.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    return light.join(mixed, "shingle").join(alive.select("mark", "cells"), "mark")
+
+
+def _candidates(postings: DataFrame, chain: int, percent: int) -> DataFrame:
     """Pairs (a < b) of classes of different components that have a prefix shingle in common and pass the filters.
 
-    chain: of each shingle's documents, one of each component after another,
-    each paired with the next; otherwise every pair of different components.
-    Postings arrive sorted by shingle; one shingle's are looked at together, each in about 100 bytes.
+    chain 1: a shingle's documents in order of size, each paired with the next;
+    2 and more, the number of the round: documents outside of the shingle's
+    largest component paired with TOSSES others, chosen anew in each round;
+    0: every pair of different components.  Postings arrive sorted by shingle;
+    one shingle's are looked at together, each in about 600 bytes.
     """
 
     def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         shingle, mark, size, at, root = (table.column(c).to_numpy() for c in ("shingle", "mark", "size", "at", "root"))
         cells = np.frombuffer(b"".join(x.as_py() for x in table.column("cells")), "<u2").reshape(-1, CELLS)
         if chain:
-            # one of each component, chosen anew for each shingle; then by size, so that neighbours pass the length filter
-            toss = mix(mark.view(np.uint64) ^ shingle.view(np.uint64))
-            order = np.lexsort((toss, root, shingle))
-            one = order[np.concatenate([[True], (shingle[order][1:] != shingle[order][:-1]) | (root[order][1:] != root[order][:-1])])]
-            one = one[np.lexsort((toss[one], size[one], shingle[one]))]
-            i, j = one[:-1], one[1:]
-            same = shingle[i] == shingle[j]
-            i, j = i[same], j[same]
+            i, j = _chained(shingle, mark, size, root) if chain == 1 else _tossed(shingle, mark, root, chain)
             ok = _allowed(i, j, size, at, cells, percent)
             yield mark[i[ok]], mark[j[ok]]
             return
@@ -449,7 +484,7 @@ def _candidates(postings: DataFrame, chain: bool, percent: int) -> DataFrame:
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size < 50_000:
+            if size < 20_000:
                 continue
             table = pa.Table.from_batches(held)
             # the last shingle may go on in the next batch
@@ -462,7 +497,7 @@ def _candidates(postings: DataFrame, chain: bool, percent: int) -> DataFrame:
         if size:
             yield from out(pa.Table.from_batches(held))
 
-    return postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
+    return gathered(postings.select("shingle", "mark", "size", "at", "root", "cells"), ["shingle"]).mapInArrow(run, "a long, b long").distinct()
 
 
 # ---- step 4: verification ------------------------------------------------------------
@@ -495,22 +530,22 @@ def link_classes(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
     """mark and root of every class that is linked with another."""
     looked = None  # all pairs verified so far
     roots = None
-    # first the two rarest prefix shingles, then all of them for what is still apart, then every pair
-    for chain, first in ((True, 2), (True, None), (True, None), (False, None)):
-        if roots is None:
-            placed = alive.withColumn("root", F.col("mark"))
-        else:
-            placed = alive.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-        pairs = _candidates(_postings(placed, first), chain, percent)
+    # chains through the two rarest prefix shingles first, then some partners at each shingle, as long as they link what was apart; then every pair
+    chain, first = 1, 2
+    while True:
+        placed = alive.withColumn("root", F.col("mark")) if roots is None else alive.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+        pairs = _candidates(_apart(placed, first), chain, percent)
         if looked is not None:
             pairs = pairs.join(looked, ["a", "b"], "left_anti")
         more = settle(_verified(pairs, alive, percent), "verified")
-        if more.isEmpty():
-            if not chain:
-                break
-            continue
+        linked = more.where("linked").count()
         looked = more if looked is None else looked.unionAll(more)
-        roots = components(looked.where("linked").select("a", "b")).withColumnRenamed("node", "mark")
+        if linked:
+            roots = components(looked.where("linked").select("a", "b")).withColumnRenamed("node", "mark")
+        if not chain:
+            break
+        chain = chain + 1 if first or (linked and chain < CHAINS) else 0
+        first = None
     return roots if roots is not None else alive.select("mark", F.col("mark").alias("root")).limit(0)
 
 
