@@ -44,17 +44,19 @@ from pyspark.sql import types as T
 
 from .components import components
 from .scratch import gathered, settle
-from .textbatch import TextBatch, chunks, mix
+from .textbatch import TextBatch, chunks, mix, release
 
 N = 5
 PERCENT = 80
 
 #: Shingles that a group of step 1 has, about.
-GROUP_SHINGLES = 3_000_000
+GROUP_SHINGLES = 1_500_000
 #: Shingles and documents that a task gathers before it sends them to their groups.
-FLUSH_SHINGLES, FLUSH_DOCS = 3_000_000, 60_000
-#: A shingle is hot in a run of documents if at least this many and one in HOT_SHARE have it ...
-HOT_IN_RUN, HOT_SHARE = 12, 50
+FLUSH_SHINGLES, FLUSH_DOCS = 2_000_000, 60_000
+#: A run of documents has about so many bytes.
+RUN_BYTES = 1 << 20
+#: A shingle is hot in it if at least this many and one in HOT_SHARE have it ...
+HOT_IN_RUN, HOT_SHARE = 8, 50
 #: ... and hot if runs where it is make at least this many documents, and one in HOT_TOTAL.
 #: So there are at most HOT_TOTAL times as many as a document has on average.
 HOT_DOCS, HOT_TOTAL = 2000, 200
@@ -132,7 +134,7 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
         kind = None
         hot: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for part, b in chunks(batch, "__text"):
+            for part, b in chunks(batch, "__text", RUN_BYTES):
                 sets = Sets.of(b, n)
                 kind = part.column("__key").type
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.n, np.int32)), part.column("__key"), pa.array(sets.size.astype(np.int64)), pa.array(sets.mark.view(np.int64))], names=["kind", "key", "size", "mark"])
@@ -221,6 +223,7 @@ def _send(docs: DataFrame, n: int, groups: int, hot: np.ndarray) -> DataFrame:
             for x in (shingles, owners, marks, sizes):
                 x.clear()
             held = n_docs = 0
+            release()
 
         schema = pa.schema([("grp", pa.int64()), ("hot", pa.bool_()), *((c, pa.binary()) for c in ("marks", "sizes", "shingles", "docs"))])
         for batch in batches:
@@ -263,14 +266,21 @@ def _count(groups: int):
             base = np.repeat(np.concatenate([[0], np.cumsum(n_marks)[:-1]]), n_docs)
             mark, first, which = np.unique(marks, return_index=True, return_inverse=True)
             size = sizes[first]
-            doc = which[docs + base]
-            del docs, base
+            base += docs
+            doc = which.astype(np.uint32)[base]
+            del docs, base, marks, which
             # hash, then class, in one sortable number: the group's hashes span a part of the range
             low = h.min()
             bits = max(int(len(mark) - 1).bit_length(), 1)
             span = (int(h.max() - low) >> 16).bit_length()
             if span + bits <= 64:
-                key = np.unique((((h - low) >> _U(16)) << _U(bits)) | doc.astype(np.uint64))
+                key = h
+                key -= low
+                key >>= _U(16)
+                key <<= _U(bits)
+                key |= doc
+                key.sort()
+                key = key[np.concatenate([[True], key[1:] != key[:-1]])]
                 doc = (key & _U((1 << bits) - 1)).astype(np.int64)
                 h = ((key >> _U(bits)) << _U(16)) + low
             else:
@@ -287,8 +297,9 @@ def _count(groups: int):
                 common = rank > 1
                 h, doc, rank = h[common], doc[common], rank[common]
             out += list(_by_class(mark, size, h, doc, rank, groups))
-        names = _COUNTED_SCHEMA.names
-        return pa.Table.from_pylist(out, schema=_COUNTED_SCHEMA) if out else _COUNTED_SCHEMA.empty_table().select(names)
+        del table, part
+        release()
+        return pa.Table.from_pylist(out, schema=_COUNTED_SCHEMA)
 
     return run
 
@@ -336,6 +347,8 @@ def _alive(percent: int):
             own = h[bounds[k] : bounds[k + 1]]
             cells = np.minimum(np.bincount((own >> _U(16)).astype(np.int64) % CELLS, minlength=CELLS), 0xFFFF)
             rows.append({"mark": int(mark[k : k + 1].view(np.int64)[0]), "size": int(size[k]), "alone": int(alone[k]), "prefix": own[: prefix[k] - alone[k]].tobytes(), "common": _six(np.sort(own)), "cells": cells.astype("<u2").tobytes()})
+        del table
+        release()
         return pa.Table.from_pylist(rows, schema=_ALIVE_SCHEMA)
 
     return run

@@ -34,6 +34,8 @@ WINDOW = 4096
 END = 2
 SHARD_DOCS = 512
 QUERY_TERMS = 24
+#: Text whose words are looked up together.
+RUN_BYTES = 2 << 20
 K1, B = 1.2, 0.75
 
 
@@ -153,7 +155,7 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokenizer(tokenizer)
         for batch in batches:
-            for part, b in chunks(batch, "__text"):
+            for part, b in chunks(batch, "__text", RUN_BYTES):
                 ids, bounds = words.encode(b)
                 bounds_out = bounds + np.arange(b.n + 1)
                 out = np.full(len(ids) + b.n, end, "<u4")

@@ -10,14 +10,15 @@ A null text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at together; a longer text makes a batch of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -155,6 +156,22 @@ class TextBatch:
         return starts, ends, owner, np.searchsorted(first, ends) - np.searchsorted(first, starts)
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Gives memory that large arrays have left in the allocators back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """True at every key that occurs twice or more."""
     if not len(keys):

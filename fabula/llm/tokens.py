@@ -16,7 +16,7 @@ import pyarrow as pa
 from .textbatch import TextBatch
 
 #: Words kept at a time (about 40 bytes each); beyond that all are forgotten and encoded anew when met.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 1_000_000
 #: Words encoded in one call.
 AT_ONCE = 4096
 
@@ -83,10 +83,9 @@ class WordTokenizer:
         sizes = np.array([len(x) for x in encoded], np.int64)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in encoded for i in x), np.uint32, int(sizes.sum()))])
-        keys = np.concatenate([self.keys, hashes])
-        place = np.concatenate([self.place, np.arange(known, known + len(hashes))])
-        order = np.argsort(keys)
-        self.keys, self.place = keys[order], place[order]
+        at = np.searchsorted(self.keys, hashes)  # hashes are sorted and new
+        self.keys = np.insert(self.keys, at, hashes)
+        self.place = np.insert(self.place, at, np.arange(known, known + len(hashes)))
 
     def encode(self, b: TextBatch) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and n + 1 bounds of the texts in them."""
