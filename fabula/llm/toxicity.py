@@ -9,7 +9,7 @@ among labelled ones of the training fold.
 
 Features say which words a document has, and which beginnings of words (4 to 6
 bytes), lower-cased by ASCII and hashed to BUCKETS places; the classifier uses
-the SELECTED places whose frequency in P and U differs most.
+at most SELECTED places whose frequency in P and U differs most.
 
 The fit uses at most P_ROWS and U_ROWS documents (by hash, outside the held-out
 fold).  Whole texts are scored.  Null and empty texts get the score of no
@@ -36,6 +36,8 @@ U_ROWS = 8000
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 SELECTED = 2048
+#: Standard errors between P and U that a place must differ by; but so many places are used at least.
+LEAST_Z, FEWEST = 4.0, 32
 STEPS = 400
 RATE = 0.05
 DECAY = 2e-5
@@ -76,25 +78,42 @@ def nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, width: int
     n = len(positive)
     n_p, n_u = max(positive.sum(), 1), max((~positive).sum(), 1)
     w = np.zeros(width + 1)
-    w[-1] = np.log(prior / (1 - prior))
+    w[-1] = np.log(prior / (1 - prior)) / 2
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
         f = np.bincount(rows, w[columns], n) + w[-1]
         p = _sigmoid(f)
-        negative_part = np.logaddexp(0, f[~positive]).mean() - prior * np.logaddexp(0, f[positive]).mean()
-        # derivative by f of q * mean_P l(f), and of mean_U l(-f) - q * mean_P l(-f)
+        as_negative, falls, rises = np.logaddexp(0, f), p - 1, p  # loss as a negative; derivatives by f as a positive and as a negative
         g = np.zeros(n)
-        if negative_part >= 0:
-            g[positive] = prior / n_p * (p[positive] - 1) - prior / n_p * p[positive]
-            g[~positive] = p[~positive] / n_u
-        else:
-            g[positive] = prior / n_p * p[positive]
-            g[~positive] = -p[~positive] / n_u
+        if as_negative[~positive].mean() >= prior * as_negative[positive].mean():
+            g[positive] = prior / n_p * (falls - rises)[positive]
+            g[~positive] = rises[~positive] / n_u
+        else:  # back
+            g[positive] = prior / n_p * rises[positive]
+            g[~positive] = -rises[~positive] / n_u
         grad = np.append(np.bincount(columns, g[rows], width), g.sum()) + DECAY * np.append(w[:-1], 0)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return w[:-1], float(w[-1])
+    f = np.bincount(rows, w[columns], n) + w[-1]
+    return w[:-1], float(w[-1]) - best_cut(f[positive], f[~positive], prior)
+
+
+def best_cut(p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """Where to part scores so that the estimated share of errors is least: the middle of the widest such gap.
+
+    Of what lies above, q * share of P is right and the rest of U is wrong; what of P lies below is wrong.
+    """
+    cuts = np.unique(np.concatenate([p, u]))
+    if len(cuts) < 2:
+        return 0.0
+    middles = (cuts[1:] + cuts[:-1]) / 2
+    missed = np.searchsorted(np.sort(p), middles) / len(p)
+    above = 1 - np.searchsorted(np.sort(u), middles) / len(u)
+    errors = prior * missed + np.maximum(above - prior * (1 - missed), 0)
+    good = errors <= errors.min() + 1e-12
+    widest = np.argmax(np.where(good, cuts[1:] - cuts[:-1], -1))
+    return float(middles[widest])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", p_rows: int = P_ROWS, u_rows: int = U_ROWS) -> Model:
@@ -135,6 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     z = np.abs(p / n_p - u / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
     z[u + p < 3] = 0
     selected = np.lexsort((np.arange(BUCKETS), -z))[:SELECTED]
+    # in small samples, words that differ by chance would only teach it the sample
+    selected = selected[: max(int((z >= LEAST_Z).sum()), FEWEST)]
     column = np.full(BUCKETS, -1, np.int32)
     column[selected] = np.arange(len(selected))
 
