@@ -95,4 +95,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return {"op1_quality_rules": oracles.OP1, "op2_jaccard_join": oracles.OP2, "op6_vector_dedup": oracles.OP6, "op8_mixing": oracles.OP8}
