@@ -30,6 +30,10 @@ LEVELS, BITS = 5, 12
 BROADCAST_SOURCES = 10_000
 
 
+def word_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def id_hash(key: str) -> Column:
     """60 bits of the MD5 of the id as text."""
     return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
@@ -40,7 +44,7 @@ def document_sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", sou
     return docs.select(
         F.col(key).alias("key"),
         F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        word_count(text).alias("size"),
         id_hash(key).alias("hash"),
     )
 
@@ -79,35 +83,38 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     )
 
 
-def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, source_size, target, whole (copies of every document) and below: documents with a smaller hash are taken once more."""
-    rest = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    state = settle(rest.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("low", F.lit(0).cast("long")), "mix-state")
+def cuts(docs: DataFrame, needs: DataFrame) -> DataFrame:
+    """grp and below: the documents of grp with a smaller hash have nearest to `need` words.
+
+    docs: grp, size, hash; needs: grp, need (at most the group's words).
+    """
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    state = settle(needs.select("grp", F.col("need").cast("double").alias("need"), F.lit(0).cast("long").alias("below")), "mix-state")
     inside = None
-    docs = sizes.select("source", "size", "hash")
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         bucket = F.shiftright("hash", shift)
-        sums = docs.groupBy(F.col("source").alias("s"), bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
-        upto = F.sum("words").over(Window.partitionBy("s").orderBy("bucket"))
-        # up to 4096 buckets of each source
-        sums = sums.withColumn("upto", upto).join(state.select("source", "need"), F.col("s").eqNullSafe(F.col("source")))
+        sums = docs.groupBy(F.col("grp").alias("g"), bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+        # up to 4096 buckets of each group
+        upto = F.sum("words").over(Window.partitionBy("g").orderBy("bucket"))
+        sums = sums.withColumn("upto", upto).join(state.select("grp", "need"), same("g", "grp"))
         edge = sums.where((F.col("need") > F.col("upto") - F.col("words")) & (F.col("need") <= F.col("upto")))
-        edge = settle(edge.select("s", "bucket", "words", "docs", (F.col("need") - (F.col("upto") - F.col("words"))).alias("more")), "mix-edge")
-        # a source without an edge needs nothing more (need 0, or its boundary document was found)
-        joined = state.join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
-        single = (F.col("docs") == 1) if level < LEVELS - 1 else F.col("docs") >= 1
+        edge = settle(edge.select("g", "bucket", "words", "docs", (F.col("need") - (F.col("upto") - F.col("words"))).alias("more")), "mix-edge")
+        # a group without an edge needs nothing more: its need is 0, or its boundary document was found
+        single = (F.col("docs") == 1) if level < LEVELS - 1 else (F.col("docs") >= 1)
         end = (F.col("bucket") + F.when(F.col("more") * 2 > F.col("words"), 1).otherwise(0)) * F.lit(1 << shift)
         changed = settle(
-            joined.select(
-                "source", "source_size", "target", "whole",
+            state.join(edge, same("grp", "g"), "left").select(
+                "grp",
                 F.when(F.col("bucket").isNull() | single, F.lit(0.0)).otherwise(F.col("more")).alias("need"),
-                F.when(F.col("bucket").isNull(), F.col("low")).when(single, end).otherwise(F.col("bucket") * F.lit(1 << shift)).alias("low"),
+                F.when(F.col("bucket").isNull(), F.col("below")).when(single, end).otherwise(F.col("bucket") * F.lit(1 << shift)).alias("below"),
             ),
             "mix-state",
-        )
-        open_edges = edge.where("docs > 1").select("s", "bucket")
-        narrower = settle(docs.join(open_edges, F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("bucket"))).select("source", "size", "hash"), "mix-inside") if level < LEVELS - 1 else None
+        )
+        narrower = None
+        if level < LEVELS - 1:
+            open_edges = edge.where("docs > 1").select("g", "bucket")
+            narrower = settle(docs.join(open_edges, same("grp", "g") & (bucket == F.col("bucket"))).select("grp", "size", "hash"), "mix-inside")
         for old in (state, edge, inside):
             drop(old)
         state = changed
@@ -115,7 +122,37 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             drop(narrower)
             break
         docs = inside = narrower
-    return state.select("source", "source_size", "target", "whole", F.col("low").alias("below"))
+    return state.select("grp", "below")
+
+
+def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """source, source_size, target, whole (copies of every document), mean, and below_large and below_small.
+
+    Documents with more than the source's mean size are cut first, for their share
+    of what is needed; the others then make up for what those missed, so that the
+    sum comes within half of a small document.
+    """
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    counts = sizes.groupBy(F.col("source").alias("s")).agg(F.avg("size").alias("mean"))
+    rest = targets.join(counts, same("source", "s")).drop("s").withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    state = settle(rest.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-needs")
+    means = state.select(F.col("source").alias("s"), "mean")
+    tiers = sizes.join(means, same("source", "s")).select(F.col("source").alias("grp"), "size", "hash", (F.col("size") > F.col("mean")).alias("large"))
+    tiers = settle(tiers.where("size > 0"), "mix-tiers")
+    large = tiers.where("large").select("grp", "size", "hash")
+    words = large.groupBy(F.col("grp").alias("g")).agg(F.sum("size").alias("large_words"))
+    needs = settle(state.join(words, same("source", "g"), "left").select(F.col("source").alias("grp"), "need", "source_size", F.coalesce("large_words", F.lit(0)).alias("large_words")), "mix-large")
+    below_large = cuts(large, needs.select("grp", F.when(F.col("source_size") > 0, F.col("need") * (F.col("large_words") / F.col("source_size"))).otherwise(F.lit(0.0)).alias("need"))).withColumnRenamed("grp", "l").withColumnRenamed("below", "below_large")
+    taken = large.join(below_large, same("grp", "l")).where(F.col("hash") < F.col("below_large")).groupBy(F.col("grp").alias("g")).agg(F.sum("size").alias("taken"))
+    left = needs.join(taken, same("grp", "g"), "left").select("grp", F.least(F.greatest(F.col("need") - F.coalesce("taken", F.lit(0)), F.lit(0.0)), (F.col("source_size") - F.col("large_words")).cast("double")).alias("need"))
+    below_small = cuts(tiers.where("not large").select("grp", "size", "hash"), left).withColumnRenamed("grp", "m").withColumnRenamed("below", "below_small")
+    placed = state.join(below_large, same("source", "l")).join(below_small, same("source", "m"))
+    return placed.select("source", "source_size", "target", "whole", "mean", "below_large", "below_small")
+
+
+def _copies(size: Column) -> Column:
+    below = F.when(size > F.col("mean"), F.col("below_large")).otherwise(F.col("below_small"))
+    return F.col("whole") + F.when(F.col("hash") < below, 1).otherwise(0)
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -124,8 +161,8 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     limits = thresholds(sizes, source_targets(sizes)).withColumnRenamed("source", "s")
     if limits.count() <= BROADCAST_SOURCES:
         limits = F.broadcast(limits)
-    again = F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    return sizes.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * (F.col("whole") + again)).alias("taken"), (F.col("whole") + again).alias("copies"))
+    copies = _copies(F.col("size"))
+    return sizes.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def apply_mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -135,9 +172,10 @@ def apply_mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     needed, and repeated rows are all treated alike.  Documents without words are left out.
     """
     sizes = settle(document_sizes(docs, text, key, source), "mix-sizes")
-    limits = thresholds(sizes, source_targets(sizes)).select(F.col("source").alias("__s"), F.col("whole").alias("__whole"), F.col("below").alias("__below"))
+    limits = thresholds(sizes, source_targets(sizes)).withColumnRenamed("source", "s").drop("source_size", "target")
     if limits.count() <= BROADCAST_SOURCES:
         limits = F.broadcast(limits)
-    marked = docs.select("*", id_hash(key).alias("__hash"), F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("__full"))
-    taken = marked.join(limits, F.col(source).eqNullSafe(F.col("__s")), "left").withColumn("__copies", F.when(F.col("__full"), F.col("__whole") + F.when(F.col("__hash") < F.col("__below"), 1).otherwise(0)).otherwise(0))
-    return taken.where("__copies > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    # the row in one column, so that its names can be any
+    marked = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), id_hash(key).alias("hash"), word_count(text).alias("size"))
+    taken = marked.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").where("size > 0").withColumn("copies", _copies(F.col("size"))).where("copies > 0")
+    return taken.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -82,8 +82,18 @@ WITH docs AS (
   SELECT source, source_size, CASE WHEN s.place >= f.place THEN f.level * weight ELSE source_size * 2.0::DOUBLE END AS target FROM shared s, first_free f
 ), needs AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
-), placed AS (
-  SELECT d.*, source_size, target, whole, target - whole * source_size AS need, sum(size) OVER (PARTITION BY d.source ORDER BY hash) AS upto, sum(size) OVER (PARTITION BY d.source, hash) AS own
-  FROM docs d JOIN needs n ON d.source IS NOT DISTINCT FROM n.source
+), sized AS (
+  SELECT source, avg(size) AS mean FROM docs GROUP BY source
+), tiers AS (
+  SELECT d.*, source_size, target, whole, target - whole * source_size AS need, size > mean AS large,
+    sum(size) OVER (PARTITION BY d.source, size > mean ORDER BY hash) AS upto, sum(size) OVER (PARTITION BY d.source, size > mean, hash) AS own,
+    coalesce(sum(CASE WHEN size > mean THEN size END) OVER (PARTITION BY d.source), 0) AS large_words
+  FROM docs d JOIN needs n ON d.source IS NOT DISTINCT FROM n.source JOIN sized z ON d.source IS NOT DISTINCT FROM z.source
+), first_cut AS (
+  SELECT *, CASE WHEN source_size > 0 THEN need * (large_words::DOUBLE / source_size) ELSE 0 END AS large_need FROM tiers
+), cut_large AS (
+  SELECT *, large AND upto - own < large_need AND (upto <= large_need OR (large_need - (upto - own)) * 2 > own) AS taken_large FROM first_cut
+), second_cut AS (
+  SELECT *, least(greatest(need - coalesce(sum(CASE WHEN taken_large THEN size END) OVER (PARTITION BY source), 0), 0), source_size - large_words) AS small_need FROM cut_large
 )
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN upto - own < need AND (upto <= need OR (need - (upto - own)) * 2 > own) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM placed"""
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN taken_large OR (NOT large AND upto - own < small_need AND (upto <= small_need OR (small_need - (upto - own)) * 2 > own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM second_cut"""
