@@ -207,6 +207,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         to = min(to, len(texts))
         yield batch.slice(at, to - at), TextBatch(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
+    release()  # Python workers live on between tasks
 
 
 def take(batch: TextBatch, rows: np.ndarray) -> TextBatch:

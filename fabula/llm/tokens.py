@@ -16,7 +16,7 @@ import pyarrow as pa
 from .textbatch import TextBatch
 
 #: Words kept at a time (about 40 bytes each); beyond that all are forgotten and encoded anew when met.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 800_000
 #: Words encoded in one call.
 AT_ONCE = 4096
 
