@@ -244,7 +244,8 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: i
     # as many runs as the document has lines, at most twice
     runs = later.groupBy("doc").agg(F.collect_list(F.struct("at", "m")).alias("__runs")).withColumnRenamed("doc", "__doc")
     columns = [f"__{i}" for i in range(len(df.columns))]
-    marked = df.withColumns({"__doc": document_id(key, text)}).join(runs, "__doc", "left")
+    # a merge join at every size, for runs have no bound
+    marked = df.withColumns({"__doc": document_id(key, text)}).join(runs.hint("merge"), "__doc", "left")
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
