@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import gathered, settle
+from .scratch import drop, gathered, settle
 from .textbatch import TextBatch, chunks, mix, release
 
 N = 5
@@ -542,6 +542,7 @@ def _verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
 def link_classes(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
     """mark and root of every class that is linked with another."""
     looked = None  # all pairs verified so far
+    tables: list[DataFrame] = []
     roots = None
     # chains through the two rarest prefix shingles first, then some partners at each shingle, as long as they link what was apart; then every pair
     chain, first = 1, 2
@@ -553,13 +554,16 @@ def link_classes(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
         more = settle(_verified(pairs, alive, percent), "verified")
         linked = more.where("linked").count()
         looked = more if looked is None else looked.unionAll(more)
+        tables.append(more)
         if linked:
             roots = components(looked.where("linked").select("a", "b")).withColumnRenamed("node", "mark")
         if not chain:
             break
         chain = chain + 1 if first or (linked and chain < CHAINS) else 0
         first = None
-    return roots if roots is not None else alive.select("mark", F.col("mark").alias("root")).limit(0)
+    for table in tables:
+        drop(table)
+    return roots if roots is not None else alive.sparkSession.createDataFrame([], "mark long, root long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -580,6 +584,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", n: i
     counted = sent.groupBy("grp").applyInArrow(_count(groups), _COUNTED)
     alive = settle(counted.groupBy("grp").applyInArrow(_alive(percent), _ALIVE), "alive")
     roots = link_classes(alive, percent)
+    drop(alive)
     placed = rows.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     full = placed.where("size > 0")
     lowest = full.groupBy("root").agg(F.min("key").alias("component_id"))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import gathered, settle
+from .scratch import drop, gathered, settle
 from .textbatch import TextBatch, chunks
 
 MIN_WORDS = 50
@@ -188,8 +188,11 @@ def later_copies(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     lines: doc, key, at, line, words.  least must be below 4096.
     """
-    segments = settle(_segments(lines, _first_ranks(lines), least), "segments")
+    first_ranks = _first_ranks(lines)
+    segments = settle(_segments(lines, first_ranks, least), "segments")
+    drop(first_ranks)
     found, step, level = [], 1, segments
+    tables = [segments]
     while True:
         if segments.where(F.col("deepest") >= step).isEmpty():
             break
@@ -203,8 +206,11 @@ def later_copies(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         if segments.where(F.col("deepest") >= 2 * step).isEmpty():
             break
         level = settle(_deeper(deep, step), "ranks")
+        tables.append(level)
         step *= 2
-    out = found[0] if found else segments.select("doc", "at", F.col("forward").alias("m")).limit(0)
+    for table in tables:
+        drop(table)
+    out = found[0] if found else lines.sparkSession.createDataFrame([], "doc long, at long, m long")
     for more in found[1:]:
         out = out.unionAll(more)
     return out
@@ -241,6 +247,7 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: i
     # a document once, however often its row occurs
     once = lines.dropDuplicates(["doc", "at"])
     later = later_copies(once, least)
+    drop(lines)
     # as many runs as the document has lines, at most twice
     runs = later.groupBy("doc").agg(F.collect_list(F.struct("at", "m")).alias("__runs")).withColumnRenamed("doc", "__doc")
     columns = [f"__{i}" for i in range(len(df.columns))]
