@@ -240,8 +240,8 @@ def without(texts: TextBatch, runs: list[list[tuple[int, int]]]) -> tuple[list[s
     return out, gone
 
 
-def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: int = MIN_WORDS) -> DataFrame:
-    """df with later copies deleted from `text`, and lines_deleted, words_before and words_left."""
+def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: int = MIN_WORDS, counts: tuple[str, str, str] = ("lines_deleted", "words_before", "words_left")) -> DataFrame:
+    """df with later copies deleted from `text`, and three more columns, named by `counts`."""
     docs = df.select(document_id(key, text).alias("__doc"), F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
     lines = settle(_lines(docs), "lines")
     # a document once, however often its row occurs
@@ -266,4 +266,4 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: i
 
     schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(columns, df.schema, strict=True)), *(T.StructField(c, T.LongType()) for c in ("__gone", "__before", "__left"))])
     done = marked.select(*(F.col(c).alias(n) for c, n in zip(df.columns, columns, strict=True)), "__runs").mapInArrow(run, schema)
-    return done.select(*(F.col(n).alias(c) for c, n in zip(df.columns, columns, strict=True)), F.col("__gone").alias("lines_deleted"), F.col("__before").alias("words_before"), F.col("__left").alias("words_left"))
+    return done.select(*(F.col(n).alias(c) for c, n in zip(df.columns, columns, strict=True)), *(F.col(n).alias(c) for c, n in zip(counts, ("__gone", "__before", "__left"), strict=True)))

@@ -172,3 +172,21 @@ def test_pipeline(spark, tmp_path):
     packed = P.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == ids[4]
     assert sum(r.length for r in packed) > 0
+
+
+def test_stages_take_empty_tables_and_any_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    text = " ".join(f"word{i}" for i in range(80))
+    extra = ("words_left", "size", "hash", "copies", "row", "mark", "root", "score", "grp", "component_id", "line", "at")
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, text + " end", "en", None, 1), (2, text + " end", "en", None, 1), (None, "a\nb", None, "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for frame in (docs.limit(0), docs.selectExpr("*", *(f"doc_id as {c}" for c in extra))):
+        for name, stage in P.STAGES:
+            out = stage(spark, frame, str(tmp_path)).persist()
+            if name != "packing":
+                assert out.columns == frame.columns, name
+                kept = {r.doc_id for r in out.collect()}
+                assert kept <= {r.doc_id for r in frame.collect()}
+            else:
+                assert sum(r.length for r in out.collect()) >= frame.count()
