@@ -29,8 +29,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of runs of lines; a document that loses all of its words goes."""
-    done = line_dedup.dedup_lines(docs)
-    left = done.where((F.col("words_left") > 0) | (F.col("lines_deleted") == 0))
+    done = line_dedup.dedup_lines(docs, counts=("__deleted", "__before", "__left"))
+    left = done.where((F.col("__left") > 0) | (F.col("__deleted") == 0))
     return _columns(left, docs)
 
 
