@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,4 +79,7 @@ def run(spark: SparkSession, s: Settings) -> DataFrame | None:
     synth.synthesize(jobs, s.voice, s.workers).write.format("noop").mode("overwrite").save()
     named = chapters.withColumn("filename", X.chapter_filename("chapter_number", "title")).select(*CHAPTER, "filename")
     written = assemble.assemble_chapters(named.join(chunks.select(*CHAPTER, "chunk_idx", "audio_path"), list(CHAPTER), "left"), s.output)
-    return spark.createDataFrame(written.toPandas()) if not written.isEmpty() else written
+    # written once, and read as often as the caller likes
+    report = f"{s.work}/runs/{uuid.uuid4().hex}"
+    written.write.parquet(report)
+    return spark.read.schema(written.schema).parquet(report)
