@@ -587,7 +587,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", n: i
     drop(alive)
     placed = rows.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     full = placed.where("size > 0")
-    lowest = full.groupBy("root").agg(F.min("key").alias("component_id"))
+    # settled, so that the join sees two plain inputs and can split a component with very many rows
+    lowest = settle(full.groupBy("root").agg(F.min("key").alias("component_id")), "lowest")
     joined = full.join(lowest, "root").select("key", "size", "component_id")
     empty = rows.where("size = 0").select("key", "size", F.col("key").alias("component_id"))
     return joined.unionAll(empty).select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")

@@ -196,8 +196,10 @@ def later_copies(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     while True:
         if segments.where(F.col("deepest") >= step).isEmpty():
             break
-        runs = _runs(segments, level, step)
-        first = runs.groupBy("m", "head", "tail").agg(F.min(F.struct("key", "doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        runs = settle(_runs(segments, level, step), "runs")
+        # settled, so that the join sees two plain inputs and can split a run with very many copies
+        first = settle(runs.groupBy("m", "head", "tail").agg(F.min(F.struct("key", "doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+        tables += [runs, first]
         again = runs.join(first, ["m", "head", "tail"]).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at"))).select("doc", "at", "m")
         found.append(settle(again, "later"))
         deep = segments.where(F.col("deepest") >= 2 * step).select("doc", "segment", "at", *(["rank"] if step == 1 else []))
