@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
+from .operators import annotate, synth
 from .plans import narrate
-from .sources import config
+from .sources import config, providers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,7 +28,14 @@ def settings(argv: list[str] | None = None) -> narrate.Settings:
     args = p.parse_args(argv)
     if args.workers < 1:
         p.error("--workers must be at least 1")
-    return narrate.Settings(books=args.book, chapter=None if args.all_chapters else args.chapter, skip_tts=args.skip_tts, workers=args.workers, narrator_tone=args.narrator_tone)
+    chat, speech = providers.available("openai"), providers.available("torch", "qwen_tts")
+    for there, what in ((chat, "annotation"), (speech, "speech")):
+        if not there:
+            print(f"No library for {what}: a stand-in takes its place.", file=sys.stderr)
+    return narrate.Settings(
+        books=args.book, chapter=None if args.all_chapters else args.chapter, skip_tts=args.skip_tts, workers=args.workers, narrator_tone=args.narrator_tone,
+        provider=providers.ChatProvider(args.openai_model) if chat else annotate.RuleProvider(), voice=providers.SpeechModel(args.workers) if speech else synth.ToneVoice(),
+    )
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.cast import DEFAULT_VOICES
 
 API_KEY, MODEL = "OPENAI_API_KEY", "OPENAI_MODEL"
-DEFAULT_MODEL = "gpt-4o-mini"
+DEFAULT_MODEL = "gpt-5.6-luna"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
