@@ -12,12 +12,14 @@ Vectors with equal labels are compared by cosine in double precision.
    what is nearer than the last of a list goes into it, until rounds find
    hardly any new links.  Only entries that are new since the last round lead to comparisons.
 4. Entries with the threshold cosine or more are links, and these give components.
-5. A list whose entries are all links is saturated: there may be more.  The
-   lists of linked nodes are therefore enlarged to their whole component, which
-   holds all nodes that they can be linked with: it is compared in blocks, each
-   block with each, and links are counted, not written out.
+5. A list whose entries are all links is saturated: there may be more.  A link that
+   is in neither node's list is one of two saturated nodes, so all saturated nodes
+   of a label are compared in blocks, each block with each, and what links they
+   have goes into the components.  These then hold all nodes that their nodes can
+   be linked with: they are compared in blocks too, and links are counted, not written out.
 6. Audit: a fixed number of nodes is compared with all nodes by brute force.  If
-   less than RECALL of their links was found, lists are refined further from new cells.
+   less than RECALL of their links was found, lists are refined further from new
+   cells; if that doesn't help, all nodes of a label are compared in blocks.
 
 Vectors that are null, empty or zero, that hold null or non-finite components, or
 that have no label, link with nothing; nor do vectors of different lengths.
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .components import roots as joined
 from .scratch import drop, gathered, settle
 
 THRESHOLD = 0.98
@@ -219,9 +222,8 @@ def neighbour_lists(nodes: DataFrame, threshold: float = THRESHOLD, seed: int =
     return lists.select("src", "dst", "cosine")
 
 
-def _link_counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """node, root and links: rows (copies counted) of other nodes of its component with the threshold cosine or more."""
-    placed = nodes.join(roots, "node")
+def _met(placed: DataFrame, threshold: float) -> DataFrame:
+    """For each meeting of two blocks of a root: node, links (rows in it, copies counted, with the threshold cosine or more) and to, the smallest node that links in it lead to."""
     blocks = placed.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     own = placed.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # each block meets each: (own, other) and (other, own) are one meeting
@@ -235,15 +237,46 @@ def _link_counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFr
             linked = unit @ unit.T >= threshold
             np.fill_diagonal(linked, False)
             count = linked @ copies
+            i, j = np.nonzero(linked)
         else:
-            a, b = own == low, own == high
+            a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
             linked = unit[a] @ unit[b].T >= threshold
             count = np.zeros(len(node), np.int64)
             count[a], count[b] = linked @ copies[b], copies[a] @ linked
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(count.astype(np.int64))], names=["node", "links"])
+            i, j = np.nonzero(linked)
+            i, j = a[i], b[j]
+        if len(i):
+            names, least = joined(node[i], node[j])
+            place = np.argsort(node, kind="stable")[np.searchsorted(np.sort(node), names)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(count[place].astype(np.int64)), pa.array(least)], names=["node", "links", "to"])
+
+    return _by_key(met, ["root", "low", "high"], ["own", "node"], work, "node long, links long, to long")
+
+
+def _edges(met: DataFrame) -> DataFrame:
+    return met.where("node != to").select(F.col("node").alias("a"), F.col("to").alias("b"))
+
+
+def _saturated_edges(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """a, b: edges that connect what links between nodes with saturated lists connect."""
+    saturated = lists.groupBy("src").agg(F.count("*").alias("entries"), F.min("cosine").alias("last")).where((F.col("entries") >= LIST) & (F.col("last") >= threshold))
+    placed = nodes.join(saturated.select(F.col("src").alias("node")), "node").select("node", F.col("grp").alias("root"), "copies", "v")
+    return _edges(_met(placed, threshold))
+
+
+def _counted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    return met.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node")
+
+
+def _link_counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """node, root and links: rows (copies counted) of other nodes of its component with the threshold cosine or more."""
+    return _counted(_met(nodes.join(roots, "node"), threshold), roots)
+
 
-    counted = _by_key(met, ["root", "low", "high"], ["own", "node"], work, "node long, links long")
-    return counted.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node")
+def _exact_counts(nodes: DataFrame, threshold: float) -> DataFrame:
+    """node, root and links of linked nodes, from comparing all nodes of each label."""
+    met = settle(_met(nodes.withColumn("root", F.col("grp")), threshold), "met")
+    return _counted(met, components(_edges(met)))
 
 
 def audit(nodes: DataFrame, counted: DataFrame, threshold: float = THRESHOLD, queries: int = AUDITED) -> float:
@@ -284,10 +317,13 @@ def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vector: str = "em
     lists = None
     for again in range(REFINED):
         lists = neighbour_lists(nodes, threshold, 6 + again, lists)
-        roots = components(lists.where(F.col("cosine") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        links = lists.where(F.col("cosine") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        roots = components(links.unionAll(_saturated_edges(nodes, lists, threshold)))
         counted = settle(_link_counts(nodes, roots, threshold), "links")
         if audit(nodes, counted, threshold) >= RECALL:
             break
+    else:
+        counted = settle(_exact_counts(nodes, threshold), "links")
     placed = nodes.select("node", "copies").join(counted, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     found = members.join(placed, "node").select(F.col("key").alias("__key"), "n_links", "component_id").dropDuplicates(["__key"])
     out = df.select(key).join(found, F.col(key) == F.col("__key"), "left")

@@ -147,6 +147,48 @@ def test_vectors_are_brute_force(spark):
     assert vector_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def linked_by_brute_force(rows):
+    found = {i: [] for i, *_ in rows}
+    for i, v, lab in rows:
+        for j, w, other in rows:
+            if i != j and lab == other and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.98:
+                found[i].append(j)
+    return found
+
+
+def assert_brute_force(spark, rows):
+    links = linked_by_brute_force(rows)
+    df = spark.createDataFrame([(i, v.tolist(), lab) for i, v, lab in rows], "vec_id long, embedding array<double>, label long")
+    least = {i: i for i in links}
+    while any(least[i] > least[j] for i in links for j in links[i]):
+        least = {i: min([least[i], *(least[j] for j in links[i])]) for i in links}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicate_vectors(df).collect()}
+    assert got == {i: (len(links[i]), least[i], least[i] == i) for i in links}
+
+
+def tight_groups():
+    """Groups of 16 near copies, of which those next to each other are at cosine 0.985; and two unlinked rows."""
+    rng = np.random.default_rng(5)
+    basis = np.linalg.qr(rng.normal(size=(32, 32)))[0]
+    step = np.arccos(0.985)
+    centres = [np.cos(k * step) * basis[0] + np.sin(k * step) * basis[1] for k in range(5)]
+    rows = [c + 1e-3 * rng.normal(size=32) / 32 for c in centres for _ in range(16)] + [basis[2], basis[3]]
+    return [(int(i), rows[k], 1) for k, i in enumerate(rng.permutation(len(rows)))]
+
+
+def test_saturated_groups_are_linked(spark, monkeypatch):
+    # blocks smaller than the groups: links are found across meetings too
+    monkeypatch.setattr(vector_dedup, "BLOCK", 24)
+    assert_brute_force(spark, tight_groups())
+
+
+def test_failed_audit_leads_to_all_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "BLOCK", 24)
+    monkeypatch.setattr(vector_dedup, "REFINED", 1)
+    monkeypatch.setattr(vector_dedup, "neighbour_lists", lambda nodes, *_: spark.createDataFrame([], "src long, dst long, cosine double"))
+    assert_brute_force(spark, tight_groups())
+
+
 def without_later_copies(rows, least):
     seq, docs = [], []
     for k, t in sorted(rows, key=lambda r: r[0]):
