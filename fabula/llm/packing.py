@@ -1,7 +1,9 @@
 """Packing documents into token windows by lexical retrieval.
 
 Documents are dealt by a hash of their id into shards of about SHARD_DOCS.  In
-its shard every document has its place in a BM25 inverted index over token ids.
+its shard every document has its place in a BM25 inverted index over token ids,
+whose document frequencies, number of documents and mean length are the whole
+corpus's.  A document is never compared with those of other shards.
 A seed document opens a window; the index returns its nearest documents that
 haven't been used, and those that fit are put in, best first.  What space is
 left is filled with the beginning of the best remaining document, whose rest
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import settle
 from .textbatch import chunks
 from .tokens import ragged, word_tokenizer
 
@@ -39,10 +42,19 @@ RUN_BYTES = 2 << 20
 K1, B = 1.2, 0.75
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """What BM25 knows of all documents: how many there are, their mean length, and in how many of them each id is."""
+
+    docs: int
+    mean: float
+    df: np.ndarray
+
+
 class Bm25:
-    """Inverted index of one shard's documents."""
+    """Inverted index of one shard's documents; without a corpus the shard is the corpus."""
 
-    def __init__(self, ids: np.ndarray, bounds: np.ndarray):
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, corpus: Corpus | None = None):
         n = self.n = len(bounds) - 1
         sizes = np.diff(bounds)
         owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
@@ -51,8 +63,9 @@ class Bm25:
         self.terms, first, df = np.unique(terms, return_index=True, return_counts=True)
         self.first = np.append(first, len(pairs))
         self.docs = docs
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1.0)) if n else np.zeros(0)
+        every, mean, in_docs = (corpus.docs, corpus.mean, corpus.df[self.terms]) if corpus else (n, sizes.mean() if n else 0.0, df)
+        self.idf = np.log1p((every - in_docs + 0.5) / (in_docs + 0.5))
+        norm = K1 * (1 - B + B * sizes / max(mean, 1.0))
         self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[docs])
         # terms of each document, the rarest first
         order = np.lexsort((pairs, -np.repeat(self.idf, df), docs))
@@ -79,11 +92,11 @@ class Piece:
     offset: int
 
 
-def pack_shard(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> list[Piece]:
+def pack_shard(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW, corpus: Corpus | None = None) -> list[Piece]:
     """Windows of one shard: every id in exactly one piece."""
     n = len(bounds) - 1
     sizes = np.diff(bounds)
-    index = Bm25(ids, bounds)
+    index = Bm25(ids, bounds, corpus)
     unused = np.ones(n, bool)
     pieces: list[Piece] = []
     sequence, used = 0, 0  # the open window and its ids
@@ -168,12 +181,40 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "do
     return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
+def corpus_of(tokens: DataFrame) -> Corpus:
+    """Statistics of all rows of `tokens`; ids are a tokenizer's, so there are few different ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, size = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, SHARD_DOCS):
+                raw = [x.as_buffer() for x in batch.column("ids").slice(at, SHARD_DOCS)]
+                sizes = np.array([r.size // 4 for r in raw], np.int64)
+                ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+                pairs = np.unique(np.repeat(np.arange(len(raw)), sizes) << 32 | ids)
+                found = np.bincount(pairs & 0xFFFFFFFF)
+                df = np.pad(df, (0, max(0, len(found) - len(df))))
+                df[: len(found)] += found
+                docs, size = docs + len(raw), size + int(sizes.sum())
+        terms = np.flatnonzero(df)
+        # ids -1 and -2 stand for the number of documents and of all their ids
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [docs, size]))], names=["id", "n"])
+
+    got = {r["id"]: r["n"] for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    docs, size = got.pop(-1, 0), got.pop(-2, 0)
+    df = np.zeros(max(got, default=-1) + 1, np.int64)
+    df[list(got)] = list(got.values())
+    return Corpus(docs, size / max(docs, 1), df)
+
+
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     sequence_id is the shard times 2**32 plus the window's number in it.
     """
-    shards = max(1, math.ceil(docs.count() / shard_docs))
+    tokens = settle(tokenize(docs, tokenizer, text, key), "tokens")
+    corpus = corpus_of(tokens)
+    shards = max(1, math.ceil(corpus.docs / shard_docs))
 
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
@@ -184,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         arrays = [np.frombuffer(raw[i], "<u4") for i in order]
         bounds = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)])
         ids = np.concatenate(arrays)
-        pieces = pack_shard(ids, bounds, window)
+        pieces = pack_shard(ids, bounds, window, corpus)
         doc = np.array([p.doc for p in pieces], np.int64)
         start = np.array([p.start for p in pieces], np.int64)
         length = np.array([p.length for p in pieces], np.int64)
@@ -196,7 +237,6 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         ]
         return pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=names)
 
-    tokens = tokenize(docs, tokenizer, text, key)
     dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), *_PIECES.fields[1:]])
     return dealt.groupBy("shard").applyInArrow(run, schema)

@@ -146,6 +146,31 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_shards_weigh_ids_by_the_whole_corpus(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "river", "stone", "house", "green", "table", "paper", "light", "north"]
+    rows = [(i, " ".join(rng.choices(words, [2**-k for k in range(12)], k=rng.choice([20, 60, 300])))) for i in range(120)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer_path(), window=256, shard_docs=20).collect()
+    tokenizer = WordTokenizer(tokenizer_path()).tokenizer
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+    df = np.bincount([t for x in ids.values() for t in set(x)])
+    corpus = packing.Corpus(len(rows), sum(map(len, ids.values())) / len(rows), df)
+    shards: dict = {}
+    for r in got:
+        shards.setdefault(r.sequence_id >> 32, []).append(r)
+    assert len(shards) > 3
+    alone = 0
+    for s, pieces in shards.items():
+        names = sorted({r.doc_id for r in pieces})
+        flat = np.concatenate([ids[i] for i in names]).astype(np.uint32)
+        bounds = np.concatenate([[0], np.cumsum([len(ids[i]) for i in names])])
+        have = sorted((r.sequence_id - (s << 32), r.offset, r.doc_id, r.start, r.length) for r in pieces)
+        want, own = (sorted((p.sequence, p.offset, names[p.doc], p.start, p.length) for p in packing.pack_shard(flat, bounds, 256, c)) for c in (corpus, None))
+        assert have == want
+        alone += have != own
+    assert alone
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
