@@ -30,15 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import settle
-from .textbatch import chunks
+from .textbatch import chunks, release
 from .tokens import ragged, word_tokenizer
 
 WINDOW = 4096
 END = 2
 SHARD_DOCS = 512
-QUERY_TERMS = 24
 #: Text whose words are looked up together.
 RUN_BYTES = 2 << 20
+#: Documents whose ids are counted together.
+AT_ONCE = 128
+#: Row groups of the table of ids; writers hold one.
+IDS_BYTES = 8 << 20
 K1, B = 1.2, 0.75
 
 
@@ -67,14 +70,14 @@ class Bm25:
         self.idf = np.log1p((every - in_docs + 0.5) / (in_docs + 0.5))
         norm = K1 * (1 - B + B * sizes / max(mean, 1.0))
         self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[docs])
-        # terms of each document, the rarest first
-        order = np.lexsort((pairs, -np.repeat(self.idf, df), docs))
+        # terms of each document
+        order = np.argsort(docs, kind="stable")
         self.own = np.repeat(np.arange(len(self.terms)), df)[order]
         self.own_bounds = np.searchsorted(docs[order], np.arange(n + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, the best first, ties by place."""
-        query = self.own[self.own_bounds[seed] : self.own_bounds[seed + 1]][:QUERY_TERMS]
+        """Unused documents that share an id with the seed, the best first, ties by place."""
+        query = self.own[self.own_bounds[seed] : self.own_bounds[seed + 1]]
         if not len(query):
             return query
         spans = [slice(self.first[t], self.first[t + 1]) for t in query]
@@ -187,8 +190,8 @@ def corpus_of(tokens: DataFrame) -> Corpus:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, size = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD_DOCS):
-                raw = [x.as_buffer() for x in batch.column("ids").slice(at, SHARD_DOCS)]
+            for at in range(0, batch.num_rows, AT_ONCE):
+                raw = [x.as_buffer() for x in batch.column("ids").slice(at, AT_ONCE)]
                 sizes = np.array([r.size // 4 for r in raw], np.int64)
                 ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
                 pairs = np.unique(np.repeat(np.arange(len(raw)), sizes) << 32 | ids)
@@ -196,6 +199,7 @@ def corpus_of(tokens: DataFrame) -> Corpus:
                 df = np.pad(df, (0, max(0, len(found) - len(df))))
                 df[: len(found)] += found
                 docs, size = docs + len(raw), size + int(sizes.sum())
+            release()
         terms = np.flatnonzero(df)
         # ids -1 and -2 stand for the number of documents and of all their ids
         yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [docs, size]))], names=["id", "n"])
@@ -212,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
 
     sequence_id is the shard times 2**32 plus the window's number in it.
     """
-    tokens = settle(tokenize(docs, tokenizer, text, key), "tokens")
+    tokens = settle(tokenize(docs, tokenizer, text, key), "tokens", {"parquet.block.size": IDS_BYTES, "parquet.enable.dictionary": "false"})
     corpus = corpus_of(tokens)
     shards = max(1, math.ceil(corpus.docs / shard_docs))
 
@@ -235,6 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
             group.column("doc_id").combine_chunks().take(pa.array(np.array(order, np.int64)[doc])), start, length, np.array(crc, np.int64), np.diff(bounds)[doc],
             (shard << 32) + np.array([p.sequence for p in pieces], np.int64), np.array([p.offset for p in pieces], np.int64),
         ]
+        release()
         return pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=names)
 
     dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))

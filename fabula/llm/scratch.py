@@ -27,11 +27,11 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write df to the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = f"{folder(spark)}/fabula-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

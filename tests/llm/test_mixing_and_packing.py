@@ -117,6 +117,20 @@ def test_neighbours_share_words():
     assert index.neighbours(4, np.ones(5, bool)).tolist() == [4]
 
 
+def test_every_id_of_a_seed_retrieves():
+    # 60 ids that only the seed has, and 40 more of which each other document has some
+    rng = np.random.default_rng(2)
+    shared = np.arange(500, 540)
+    seed = np.concatenate([np.arange(1000, 1060), shared])
+    docs = [seed, *(np.concatenate([rng.choice(shared, k, replace=False), np.arange(2000 + 50 * k, 2040 + 50 * k - k)]) for k in (1, 9, 30, 3))]
+    index = packing.Bm25(np.concatenate(docs).astype(np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+    unused = np.array([False, True, True, True, True])
+    df = {t: sum(t in d for d in docs) for t in shared}
+    mean = np.mean([len(d) for d in docs])
+    score = {i: sum(np.log1p((5 - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in shared if t in d) for i, d in enumerate(docs) if i}
+    assert index.neighbours(0, unused).tolist() == sorted(score, key=lambda i: -score[i]) == [3, 2, 4, 1]
+
+
 def test_pack(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "délta."]) for _ in range(rng.choice([3, 50, 6000])))) for i in range(40)] + [(100, None), (101, ""), (7, "again"), (7, "again")]
