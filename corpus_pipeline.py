@@ -35,10 +35,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near duplicates."""
-    found = jaccard_join.near_duplicates(docs)
-    losers = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near duplicates: that with the smallest id, null last, then by a hash of its text."""
+    # settled, for the numbers must be the same wherever they are read
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    rows = settle(ordered.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_join.near_duplicates(rows, key="__row")
+    first = found.where(F.col("__row") == F.col("component_id")).select("__row")
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,6 +216,19 @@ def test_pipeline(spark, tmp_path):
     assert sum(r.length for r in packed) > 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline as P
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(80)) for k in "abcd")
+    # repeated rows; near copies without an id; and an id with texts of two groups
+    rows = [(1, a), (1, a), (5, a + " end"), (None, b), (None, b + " end"), (None, b), (7, c), (7, d), (6, c + " end"), (8, d), (9, None), (9, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.drop_near_duplicates(spark, docs.repartition(3), "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "")[:1]) for r in out.collect()), key=repr)
+    assert got == sorted([(1, "a"), (None, "b"), (6, "c"), (7, "d"), (9, ""), (9, ""), (None, "")], key=repr)
+
+
 def test_stages_take_empty_tables_and_any_columns(spark, tmp_path):
     import corpus_pipeline as P
 
