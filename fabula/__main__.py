@@ -1,9 +1,8 @@
-"""python -m fabula --book BOOK [--chapter N | --all-chapters] [--skip-tts] [--workers N] [--openai-model M] [--no-narrator-tone]"""
+"""python -m fabula --book BOOK [--chapter N | --all-chapters] [--skip-tts] [--workers N] [--openai-model M] [--no-narrator-tone] [--stand-ins]"""
 
 from __future__ import annotations
 
 import argparse
-import sys
 
 from .operators import annotate, synth
 from .plans import narrate
@@ -20,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--workers", type=int, default=2, help="tasks that synthesize at a time")
     p.add_argument("--openai-model", default=config.model_name(), help="model of the annotation provider")
     p.add_argument("--narrator-tone", action=argparse.BooleanOptionalAction, default=True, help="one tone for all narration of a chapter")
+    p.add_argument("--stand-ins", action="store_true", help="rules and tones in place of models, to try things out; their results are kept apart")
     return p
 
 
@@ -28,13 +28,17 @@ def settings(argv: list[str] | None = None) -> narrate.Settings:
     args = p.parse_args(argv)
     if args.workers < 1:
         p.error("--workers must be at least 1")
-    chat, speech = providers.available("openai"), providers.available("torch", "qwen_tts")
-    for there, what in ((chat, "annotation"), (speech, "speech")):
-        if not there:
-            print(f"No library for {what}: a stand-in takes its place.", file=sys.stderr)
+    if args.stand_ins:
+        provider, voice = annotate.RuleProvider(), synth.ToneVoice()
+    else:
+        # a model that isn't there is an error, never replaced by something else
+        if not providers.available("openai"):
+            p.error("annotation needs the openai library (or --stand-ins)")
+        if not args.skip_tts and not providers.available("torch", "qwen_tts"):
+            p.error("speech needs the torch and qwen_tts libraries (or --skip-tts, or --stand-ins)")
+        provider, voice = providers.ChatProvider(args.openai_model), None if args.skip_tts else providers.SpeechModel(args.workers)
     return narrate.Settings(
-        books=args.book, chapter=None if args.all_chapters else args.chapter, skip_tts=args.skip_tts, workers=args.workers, narrator_tone=args.narrator_tone,
-        provider=providers.ChatProvider(args.openai_model) if chat else annotate.RuleProvider(), voice=providers.SpeechModel(args.workers) if speech else synth.ToneVoice(),
+        books=args.book, provider=provider, voice=voice, chapter=None if args.all_chapters else args.chapter, skip_tts=args.skip_tts, workers=args.workers, narrator_tone=args.narrator_tone, say=lambda x: print(x, flush=True),
     )
 
 

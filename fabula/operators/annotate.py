@@ -32,6 +32,8 @@ class AnnotationError(Exception):
 
 
 class Provider(Protocol):
+    name: str  # caches are kept apart by it
+
     def annotate(self, text: str, roster: list[str], preceding: str | None) -> dict: ...
 
     def tone(self, sample: str) -> str: ...
@@ -77,6 +79,7 @@ def guess_tone(provider: Provider, sample: str) -> str:
 class RuleProvider:
     """A deterministic stand-in for a language model: dialogue goes to speakers by a rule, with no claim to quality."""
 
+    name = "rule"
     names = ("Marc", "Léa", "Jean", "Cosette")
 
     def annotate(self, text: str, roster: list[str], preceding: str | None) -> dict:
@@ -101,14 +104,18 @@ def narrator_line(text: str | Column = "text") -> Column:
     return F.array(F.struct(*(v.alias(f) for f, v in zip(FIELDS, values, strict=True))))
 
 
-_ANNOTATED = T.StructType([T.StructField("book_id", T.StringType()), T.StructField("chapter_number", T.IntegerType()), T.StructField("passage_idx", T.IntegerType()), T.StructField("text_hash", T.StringType()), T.StructField("lines", LINES), T.StructField("roster", ROSTER)])
+_ANNOTATED = T.StructType([T.StructField("book_id", T.StringType()), T.StructField("chapter_number", T.IntegerType()), T.StructField("passage_idx", T.IntegerType()), T.StructField("text_hash", T.StringType()), T.StructField("lines", LINES), T.StructField("roster", ROSTER), T.StructField("error", T.StringType())])
 
 
 def annotate_chapters(checked: DataFrame, provider: Provider) -> DataFrame:
     """lines and roster of every passage: from the cache up to the first pending passage, from then on anew.
 
-    checked has the columns of resume.with_cache.
+    checked has the columns of resume.with_cache.  A passage that a provider fails at (ATTEMPTS
+    times, all in all) has its message in `error` and no lines, and its chapter ends
+    there; as this is no failure of a task, Spark doesn't ask again, and what was
+    annotated before it can be kept.
     """
+
     def chapter(passages: pd.DataFrame) -> pd.DataFrame:
         roster: list[str] = []
         preceding: str | None = None
@@ -120,10 +127,14 @@ def annotate_chapters(checked: DataFrame, provider: Provider) -> DataFrame:
                 lines = [x if isinstance(x, dict) else x.asDict() for x in p.lines]
                 roster = list(p.roster) if p.roster is not None else roster
             else:
-                lines = annotate_one(provider, p.text, roster, preceding) if p.has_dialogue else [dict(zip(FIELDS, ("Narrator", True, "male", False, p.text, None), strict=True))]
+                try:
+                    lines = annotate_one(provider, p.text, roster, preceding) if p.has_dialogue else [dict(zip(FIELDS, ("Narrator", True, "male", False, p.text, None), strict=True))]
+                except AnnotationError as e:
+                    out.append((p.book_id, p.chapter_number, p.passage_idx, p.text_hash, None, None, str(e)))
+                    break
                 roster = list(dict.fromkeys([*roster, *(x["speaker"] for x in lines)]))
             preceding = lines[-1]["text"]
-            out.append((p.book_id, p.chapter_number, p.passage_idx, p.text_hash, lines, list(roster)))
+            out.append((p.book_id, p.chapter_number, p.passage_idx, p.text_hash, lines, list(roster), None))
         return pd.DataFrame(out, columns=[f.name for f in _ANNOTATED])
 
     ready = checked.select(F.col("book_id").cast("string"), F.col("chapter_number").cast("int"), F.col("passage_idx").cast("int"), "text", "has_dialogue", "text_hash", "valid", "lines", "roster")
@@ -131,14 +142,22 @@ def annotate_chapters(checked: DataFrame, provider: Provider) -> DataFrame:
 
 
 def tones(samples: DataFrame, cache: DataFrame, provider: Provider) -> DataFrame:
-    """book_id, chapter_number and instruct: the cached tone where there is one, else the provider's."""
+    """book_id, chapter_number and instruct: the cached tone where there is one, else the provider's; and its message in `error` where that failed."""
+
+    def guess(sample: str) -> tuple[str | None, str | None]:
+        try:
+            return guess_tone(provider, sample), None
+        except AnnotationError as e:
+            return None, str(e)
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield part.assign(instruct=[guess_tone(provider, s) for s in part["sample"]]).drop(columns="sample")
+            found = [guess(s) for s in part["sample"]]
+            yield part.assign(instruct=[t for t, _ in found], error=[e for _, e in found]).drop(columns="sample")
 
     todo = samples.join(cache, list(CHAPTER), "left_anti").select(*CHAPTER, "sample")
-    asked = todo.mapInPandas(ask, T.StructType([*(todo.schema[c] for c in CHAPTER), T.StructField("instruct", T.StringType())]))
-    return cache.join(samples, list(CHAPTER), "left_semi").select(*CHAPTER, "instruct").unionByName(asked)
+    asked = todo.mapInPandas(ask, T.StructType([*(todo.schema[c] for c in CHAPTER), T.StructField("instruct", T.StringType()), T.StructField("error", T.StringType())]))
+    return cache.join(samples, list(CHAPTER), "left_semi").select(*CHAPTER, "instruct", F.lit(None).cast("string").alias("error")).unionByName(asked)
 
 
 def exploded_lines(annotated: DataFrame) -> DataFrame:
@@ -153,17 +172,29 @@ def preceding_line(keys: tuple[str, ...] = CHAPTER, order: str = "passage_idx",
     return F.lag(last_text).over(Window.partitionBy(*keys).orderBy(order))
 
 
-def running_roster(keys: tuple[str, ...], order: str, speaker: str = "speaker") -> Column:
-    """Different speakers up to here, in order of their first line."""
+def running_roster(lines: DataFrame, keys: tuple[str, ...], order: str, speaker: str = "speaker", name: str = "roster") -> DataFrame:
+    """lines with the different speakers up to each, in order of their first line.
+
+    Only a speaker's first line adds to what is collected, so a frame holds the roster and no more.
+    """
+    first = F.row_number().over(Window.partitionBy(*keys, speaker).orderBy(order)) == 1
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.array_distinct(F.collect_list(speaker).over(upto))
+    marked = lines.withColumn("__new", F.when(first, F.col(speaker)))
+    return marked.withColumn(name, F.collect_list("__new").over(upto)).drop("__new")
+
+
+def answer_problem(answer: Column | str) -> Column:
+    """What is wrong with an answer in JSON (as in check_annotation), null if nothing is."""
+    loose = F.from_json(F.col(answer) if isinstance(answer, str) else answer, "lines array<map<string,string>>")["lines"]
+    lacks = F.exists(loose, lambda x: x.isNull() | ~F.coalesce(F.forall(F.array(*map(F.lit, FIELDS)), lambda f: F.map_contains_key(x, f)), F.lit(False)))
+    gender = F.exists(loose, lambda x: ~F.coalesce(x["speaker_gender"].isin(*GENDERS), F.lit(False)))
+    return F.when(F.coalesce(F.size(loose), F.lit(0)) < 1, "no lines").when(F.coalesce(lacks, F.lit(True)), "a field is missing").when(gender, "unknown gender")
 
 
 def parse_answer(answer: Column | str) -> Column:
     """Lines of an answer in JSON; an answer that doesn't hold fails the query."""
     parsed = F.from_json(F.col(answer) if isinstance(answer, str) else answer, T.StructType([T.StructField("lines", LINES)]))["lines"]
-    fine = (F.size(parsed) > 0) & F.forall(parsed, lambda x: x["speaker_gender"].isin(*GENDERS) & x["speaker"].isNotNull() & x["is_narrator"].isNotNull() & x["speaker_is_child"].isNotNull() & x["text"].isNotNull())
-    return F.when(F.coalesce(fine, F.lit(False)), parsed).otherwise(F.raise_error(F.lit("an annotation doesn't hold")).cast(LINES))
+    return F.when(answer_problem(answer).isNull(), parsed).otherwise(F.raise_error(F.lit("an annotation doesn't hold")).cast(LINES))
 
 
 def to_answer(lines: list[dict]) -> str:

@@ -30,7 +30,8 @@ def assign_voices(lines: DataFrame, overrides: DataFrame | None = None, voices:
     if overrides is None:
         return spoken.withColumn("voice", standard)
     # a cast list is a few names; one beyond the bound is joined by shuffle
-    pinned = overrides.select("speaker", F.col("voice").alias("__pinned")).dropDuplicates(["speaker"])
+    # of clashing overrides the first voice by code points
+    pinned = overrides.groupBy("speaker").agg(F.min("voice").alias("__pinned"))
     if pinned.limit(BROADCAST_OVERRIDES + 1).count() <= BROADCAST_OVERRIDES:
         pinned = F.broadcast(pinned)
     return spoken.join(pinned, "speaker", "left").withColumn("voice", F.coalesce("__pinned", standard)).drop("__pinned")

@@ -47,6 +47,12 @@ def pending_jobs(chunks: DataFrame, existing: DataFrame) -> DataFrame:
     return missing.withColumn("__n", first).where("__n = 1").drop("__n")
 
 
+def job_totals(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Each chapter's number of chunks, and of jobs that are left for it."""
+    left = jobs.groupBy(*CHAPTER).agg(F.count("*").alias("n_jobs"))
+    return chunks.groupBy(*CHAPTER).agg(F.count("*").alias("n_chunks")).join(left, list(CHAPTER), "left").select(*CHAPTER, "n_chunks", F.coalesce("n_jobs", F.lit(0)).alias("n_jobs"))
+
+
 def chapters_to_do(chapters: DataFrame, finished: DataFrame) -> DataFrame:
     """Chapters whose output file isn't there."""
     named = chapters.withColumn("filename", X.chapter_filename(F.col("chapter_number").cast("int"), "title"))

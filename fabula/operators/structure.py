@@ -48,7 +48,10 @@ def _body(elements: DataFrame, *order: str) -> DataFrame:
 
 
 def read_structure(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chapters and body passages of all books, each by its own convention."""
+    """Chapters and body passages of all books, each by its own convention.
+
+    `elements` is read several times: where parsing made it, give it settled or persisted.
+    """
     kind = F.max((F.col("kind") == "section").cast("int")).over(Window.partitionBy("book_id"))
     known = elements.withColumn("__sections", kind)
     parts = [by_sections(known.where("__sections = 1")), by_heading_pairs(known.where("__sections = 0"))]
@@ -70,13 +73,22 @@ def count_chapters(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("book_id").agg(F.count("*").alias("n_chapters"))
 
 
-def one_chapter(chapters: DataFrame, book_id: str, number: int) -> DataFrame:
-    """That chapter; ValueError if the book hasn't so many."""
-    found = chapters.where(F.col("book_id") == book_id)
-    n = found.count()
-    if not 1 <= number <= n:
-        raise ValueError(f"chapter {number} not found; {n} chapter boundaries detected in {book_id}")
-    return found.where(F.col("chapter_number") == number)
+def choose_chapters(chapters: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (book_id, chapter_number) with heading and title, and a problem where the book hasn't so many chapters."""
+    found = wanted.join(count_chapters(chapters), "book_id", "left").join(chapters, ["book_id", "chapter_number"], "left")
+    n = F.coalesce("n_chapters", F.lit(0))
+    there = (F.col("chapter_number") >= 1) & (F.col("chapter_number") <= n)
+    problem = F.when(~there, F.concat_ws("", F.lit("chapter "), F.col("chapter_number").cast("string"), F.lit(" not found; "), n.cast("string"), F.lit(" chapter boundaries detected")))
+    return found.select("book_id", "chapter_number", "heading", "title", problem.alias("problem"))
+
+
+def one_chapter(chapters: DataFrame, number: int) -> DataFrame:
+    """That chapter of every book; ValueError if one hasn't so many."""
+    wanted = chapters.select("book_id").distinct().withColumn("chapter_number", F.lit(number))
+    chosen = choose_chapters(chapters, wanted)
+    if problems := chosen.where("problem is not null").orderBy("book_id").limit(1).collect():
+        raise ValueError(f"{problems[0]['problem']} in {problems[0]['book_id']}")
+    return chosen.drop("problem")
 
 
 TONE_PASSAGES, TONE_CHARS = 5, 800

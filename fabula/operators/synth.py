@@ -23,6 +23,8 @@ AT_ONCE = 64
 
 
 class Voice(Protocol):
+    name: str  # audio is kept apart by it
+
     def load(self, model: str) -> object: ...
 
     def speak(self, model: object, text: str, voice: str, instruct: str, language: str) -> np.ndarray: ...
@@ -31,6 +33,8 @@ class Voice(Protocol):
 class ToneVoice:
     """A deterministic stand-in for a speech model: a tone whose length and pitch come from the text and voice."""
 
+    name = "tone"
+
     def load(self, model: str) -> object:
         return 1.0 if "0.6B" in model else 1.5
 

@@ -1,11 +1,17 @@
-"""Books to chapters of audio: one plan over all chapters that aren't done."""
+"""Books to chapters of audio: one plan over all chapters that aren't done.
+
+Annotation goes in waves of chapters, each committed before the next begins, and a
+chapter that a provider fails at doesn't take others with it: what was annotated is
+kept, and the run ends with that error.  Everything else is one plan.
+"""
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -18,6 +24,8 @@ CHAPTER = ("book_id", "chapter_number")
 @dataclass
 class Settings:
     books: str
+    provider: annotate.Provider
+    voice: synth.Voice | None = None  # not needed if speech is skipped
     work: str = "work"  # caches, chunk audio
     output: str = "output"
     voices: str = "voices.json"
@@ -26,38 +34,80 @@ class Settings:
     skip_tts: bool = False
     narrator_tone: bool = True
     workers: int = 2
-    provider: annotate.Provider = field(default_factory=annotate.RuleProvider)
-    voice: synth.Voice = field(default_factory=synth.ToneVoice)
+    wave: int = 256  # chapters annotated, about, from one commit to the next
+    say: Callable[[str], None] = lambda _: None
+
+    @property
+    def caches(self) -> str:
+        """Answers of different providers are never taken for each other."""
+        return f"{self.work}/cache-{self.provider.name}"
+
+    @property
+    def audio(self) -> str:
+        return f"{self.work}/audio-{self.voice.name}"
+
+
+@dataclass
+class Books:
+    """Chapters, their body, and what of it is narrated; chapters with an output file are left out of the last three."""
+
+    every: DataFrame
+    finished: DataFrame
+    chapters: DataFrame
+    body: DataFrame
+    passages: DataFrame
 
 
-def prepare(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chapters to do, their body and their narration passages."""
-    chapters, body = structure.read_structure(epub.read_books(spark, s.books).persist())
-    chapters = chapters.withColumn("chapter_number", F.col("chapter_number").cast("int"))
-    body = body.withColumn("chapter_number", F.col("chapter_number").cast("int"))
+def _settled(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def prepare(spark: SparkSession, s: Settings, run: str) -> Books:
+    """Books are parsed once, into the run's folder."""
+    elements = _settled(epub.read_books(spark, s.books), f"{run}/elements")
+    every, body = (d.withColumn("chapter_number", F.col("chapter_number").cast("int")) for d in structure.read_structure(elements))
+    place = F.split("audio_path", "/")
+    finished = audio.existing(spark, s.output).select(F.element_at(place, -2).alias("book_id"), F.element_at(place, -1).alias("filename"))
     if s.chapter is not None:
-        for book in [r["book_id"] for r in chapters.select("book_id").distinct().collect()]:
-            structure.one_chapter(chapters, book, s.chapter)
-        chapters, body = (d.where(F.col("chapter_number") == s.chapter) for d in (chapters, body))
+        chapters = structure.one_chapter(every, s.chapter)
     else:
-        done = audio.existing(spark, s.output).select(F.element_at(F.split("audio_path", "/"), -2).alias("book_id"), F.element_at(F.split("audio_path", "/"), -1).alias("filename"))
-        chapters = resume.chapters_to_do(chapters, done).drop("filename")
-        body = body.join(chapters.select(*CHAPTER), list(CHAPTER), "left_semi")
-    return chapters, body, structure.narration_passages(chapters, body)
+        chapters = resume.chapters_to_do(every, finished).drop("filename")
+    chapters = _settled(chapters.select(*CHAPTER, "heading", "title"), f"{run}/chapters")
+    body = _settled(body.join(chapters.select(*CHAPTER), list(CHAPTER), "left_semi"), f"{run}/body")
+    return Books(every, finished, chapters, body, structure.narration_passages(chapters, body))
 
 
-def annotated(spark: SparkSession, s: Settings, chapters: DataFrame, body: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Annotations and tones of all chapters to do, both committed to the caches before anything else uses them."""
-    tones = cache.read(spark, s.work, "tones")
-    if s.narrator_tone:
-        found = annotate.tones(structure.tone_samples(chapters, body), tones, s.provider)
-        tones = cache.commit(tones.join(found, list(CHAPTER), "left_anti").unionByName(found), s.work, "tones")
-    old = cache.read(spark, s.work, "annotations")
-    checked = resume.with_cache(passages, old)
-    fresh = annotate.annotate_chapters(checked, s.provider)
-    kept = resume.invalidate(old, resume.first_pending(checked)).join(passages.select(*CHAPTER, "passage_idx"), [*CHAPTER, "passage_idx"], "left_anti")
-    committed = cache.commit(kept.unionByName(fresh), s.work, "annotations")
-    return committed.join(passages.select(*CHAPTER, "passage_idx"), [*CHAPTER, "passage_idx"], "left_semi"), tones
+def _raise(rows: DataFrame) -> None:
+    failed = rows.where("error is not null").orderBy(*CHAPTER).select(*CHAPTER, "error").limit(5).collect()
+    if failed:
+        raise annotate.AnnotationError("; ".join(f"{r['book_id']}, chapter {r['chapter_number']}: {r['error']}" for r in failed))
+
+
+def annotated(spark: SparkSession, s: Settings, books: Books, run: str) -> tuple[DataFrame, DataFrame]:
+    """Annotations and tones of all chapters to do, committed to the caches wave by wave before anything else uses them.
+
+    What a provider answers is written down at once, good answers are committed, and only then does a failure end the run.
+    """
+    waves = max(1, -(-books.chapters.count() // s.wave))
+    for k in range(waves):
+        mine: Column = F.pmod(F.xxhash64(*CHAPTER), F.lit(waves)) == k
+        if s.narrator_tone:
+            known = cache.read(spark, s.caches, "tones")
+            lacking = books.chapters.where(mine).join(known, list(CHAPTER), "left_anti")
+            if not lacking.isEmpty():
+                found = _settled(annotate.tones(structure.tone_samples(lacking, books.body.where(mine)), known, s.provider), f"{run}/tones-{k}")
+                cache.commit(found.where("error is null"), s.caches, "tones")
+                _raise(found)
+        checked = resume.with_cache(books.passages.where(mine), cache.read(spark, s.caches, "annotations"))
+        pending = resume.first_pending(checked).where("first_pending is not null").select(*CHAPTER)
+        if not pending.isEmpty():
+            fresh = _settled(annotate.annotate_chapters(checked.join(pending, list(CHAPTER), "left_semi"), s.provider), f"{run}/annotations-{k}")
+            cache.commit(fresh.where("error is null"), s.caches, "annotations")
+            _raise(fresh)
+        s.say(f"annotated: wave {k + 1} of {waves}")
+    annotations = cache.read(spark, s.caches, "annotations").join(books.passages.select(*CHAPTER, "passage_idx"), [*CHAPTER, "passage_idx"], "left_semi")
+    return annotations, cache.read(spark, s.caches, "tones")
 
 
 def chunks_of(spark: SparkSession, s: Settings, annotations: DataFrame, tones: DataFrame) -> DataFrame:
@@ -65,21 +115,29 @@ def chunks_of(spark: SparkSession, s: Settings, annotations: DataFrame, tones: D
     if s.narrator_tone:
         lines = lines.join(tones.withColumnRenamed("instruct", "tone"), list(CHAPTER), "left")
     resolved = cast.resolve_lines(lines, config.overrides(spark, s.cast), config.voice_config(spark, s.voices), "tone" if s.narrator_tone else None)
-    return chunk.merge_chunks(resolved, F.concat(F.lit(f"{s.work}/audio/"), F.col("book_id")))
+    return chunk.merge_chunks(resolved, F.concat(F.lit(f"{s.audio}/"), F.col("book_id")))
 
 
 def run(spark: SparkSession, s: Settings) -> DataFrame | None:
     """book_id, chapter_number, path and n_samples of every chapter written; None if speech is skipped."""
-    chapters, body, passages = prepare(spark, s)
-    annotations, tones = annotated(spark, s, chapters, body, passages)
+    # one form of paths, for files are told by them
+    s = replace(s, work=config.canonical(spark, s.work), output=config.canonical(spark, s.output))
+    folder = f"{s.work}/runs/{uuid.uuid4().hex}"
+    books = prepare(spark, s, folder)
+    # one row for each book
+    for r in resume.run_summary(books.every, books.finished).orderBy("book_id").toLocalIterator():
+        s.say(f"{r['book_id']}: {r['total']} chapters, {r['skipped']} of them finished before")
+    annotations, tones = annotated(spark, s, books, folder)
     if s.skip_tts:
         return None
-    chunks = chunks_of(spark, s, annotations, tones).persist()
-    jobs = resume.pending_jobs(chunks, audio.existing(spark, f"{s.work}/audio"))
+    chunks = _settled(chunks_of(spark, s, annotations, tones), f"{folder}/chunks")
+    jobs = _settled(resume.pending_jobs(chunks, audio.existing(spark, s.audio)), f"{folder}/jobs")
+    total = resume.job_totals(chunks, jobs).agg(F.sum("n_chunks").alias("chunks"), F.sum("n_jobs").alias("jobs")).first()
+    s.say(f"chunks: {total['chunks'] or 0}, {total['jobs'] or 0} of them to synthesize")
     synth.synthesize(jobs, s.voice, s.workers).write.format("noop").mode("overwrite").save()
-    named = chapters.withColumn("filename", X.chapter_filename("chapter_number", "title")).select(*CHAPTER, "filename")
+    named = books.chapters.withColumn("filename", X.chapter_filename("chapter_number", "title")).select(*CHAPTER, "filename")
     written = assemble.assemble_chapters(named.join(chunks.select(*CHAPTER, "chunk_idx", "audio_path"), list(CHAPTER), "left"), s.output)
     # written once, and read as often as the caller likes
-    report = f"{s.work}/runs/{uuid.uuid4().hex}"
-    written.write.parquet(report)
-    return spark.read.schema(written.schema).parquet(report)
+    report = _settled(written, f"{folder}/report")
+    s.say(f"chapters written: {report.count()}")
+    return report

@@ -1,7 +1,10 @@
-"""Annotation and tone caches: versioned Parquet folders.
+"""Annotation and tone caches: append-only versions in Parquet folders.
 
-A commit writes a whole new version and then a marker naming it, so a reader sees
-the old version or the new one, never a part.
+A commit writes the whole state of some chapters as a new version; a chapter's state is
+that of the latest version that has it.  Spark marks a version that was written to
+its end, so a reader sees a commit or nothing of it, and commits of other chapters
+stay as they are.  Many versions are made one now and then.  One run at a time
+commits to a folder.
 """
 
 from __future__ import annotations
@@ -10,36 +13,57 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ANNOTATION_CACHE, TONE_CACHE
 from .config import exists
 
 SCHEMAS = {"annotations": ANNOTATION_CACHE, "tones": TONE_CACHE}
+CHAPTER = ["book_id", "chapter_number"]
+#: Versions that are kept before they are made one.
+MOST_VERSIONS = 50
 
 
-def _versions(spark: SparkSession, folder: str) -> list[str]:
+def _folder(spark: SparkSession, folder: str):  # noqa: ANN202 - a JVM pair
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
     if not exists(spark, folder):
         return []
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
-    names = [f.getPath().getName() for f in found]
-    # Spark marks a version that was written to its end
+    place, store = _folder(spark, folder)
+    names = [f.getPath().getName() for f in store.listStatus(place)]
     return sorted(n for n in names if n.startswith("v") and exists(spark, f"{folder}/{n}/_SUCCESS"))
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The latest version of a cache table; empty if there is none."""
+    """Every chapter's latest state; empty if there is none."""
     schema: T.StructType = SCHEMAS[table]
-    versions = _versions(spark, f"{root}/{table}")
-    if not versions:
+    names = versions(spark, f"{root}/{table}")
+    if not names:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{table}/{versions[-1]}")
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.StringType())])).parquet(*(f"{root}/{table}/{n}" for n in names))
+    if len(names) > 1:
+        latest = stored.groupBy(*CHAPTER).agg(F.max("version").alias("version"))
+        stored = stored.join(latest, [*CHAPTER, "version"], "left_semi")
+    return stored.select(*schema.names)
+
+
+def _write(df: DataFrame, root: str, table: str) -> None:
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.select(*SCHEMAS[table].names, F.lit(version).alias("version")).write.parquet(f"{root}/{table}/{version}")
 
 
 def commit(df: DataFrame, root: str, table: str) -> DataFrame:
-    """Writes df as the table's new version and returns it as read from there."""
+    """Adds the state of df's chapters, all of their rows, and returns the whole table as read afterwards."""
     spark = df.sparkSession
-    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    df.select(*[f.name for f in SCHEMAS[table]]).write.parquet(f"{root}/{table}/{version}")
+    _write(df, root, table)
+    old = versions(spark, f"{root}/{table}")
+    if len(old) > MOST_VERSIONS:
+        _write(read(spark, root, table), root, table)
+        for name in old:
+            place, store = _folder(spark, f"{root}/{table}/{name}")
+            store.delete(place, True)
     return read(spark, root, table)

@@ -2,6 +2,7 @@ import json
 import os
 import sys
 import wave
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -121,8 +122,9 @@ def test_chapters_by_heading_pairs_and_sections(spark, shelf):
     assert texts["sections", 1] == [("a", False), ("— b", True), ("c", False)]
     assert texts["sections", 2] == [("d", False)]
     assert {r.book_id: r.n_chapters for r in structure.count_chapters(chapters).collect()} == {"deux_tomes": 2, "sections": 3}
-    with pytest.raises(ValueError, match="3 chapter"):
-        structure.one_chapter(chapters, "sections", 4)
+    with pytest.raises(ValueError, match="3 chapter boundaries detected in sections"):
+        structure.one_chapter(chapters.where("book_id = 'sections'"), 4)
+    assert [(r.book_id, r.heading) for r in structure.one_chapter(chapters, 2).orderBy("book_id").collect()] == [("deux_tomes", "Chapitre II"), ("sections", "2")]
     passages = structure.narration_passages(chapters, body).where("book_id = 'sections' and chapter_number > 1").orderBy("chapter_number", "passage_idx").collect()
     assert [(p.passage_idx, p.part, p.text) for p in passages] == [(0, "heading", "2"), (1, "title", "Deux mots"), (2, "body", "d"), (0, "heading", ""), (1, "body", "sans titre")]
 
@@ -176,7 +178,7 @@ def test_context_and_resume(spark, tmp_path):
     assert calls[0][1] == ["Narrator"] and calls[1][1] == rows[1].roster
     assert rows[0].roster == ["Narrator"] and len(rows[1].lines) == 3
     lines = annotate.exploded_lines(done)
-    running = lines.withColumn("r", annotate.running_roster(("book_id", "chapter_number"), "line_idx")).groupBy("passage_idx").agg(F.max_by("r", "line_idx").alias("r")).collect()
+    running = annotate.running_roster(lines, ("book_id", "chapter_number"), "line_idx", name="r").groupBy("passage_idx").agg(F.max_by("r", "line_idx").alias("r")).collect()
     assert {x.passage_idx: x.r for x in running} == {k: r.roster for k, r in rows.items()}
 
     # nothing is asked again; a change in the middle is, and all after it
@@ -265,26 +267,111 @@ def test_assembly(spark, tmp_path):
 
 
 def test_run_and_resume(spark, shelf, tmp_path):
-    s = narrate.Settings(books=shelf, work=str(tmp_path / "w"), output=str(tmp_path / "o"), voices=str(tmp_path / "v"), cast=str(tmp_path / "c"), provider=Recorder(tmp_path))
+    s = narrate.Settings(books=shelf, work=str(tmp_path / "w"), output=str(tmp_path / "o"), voices=str(tmp_path / "v"), cast=str(tmp_path / "c"), provider=Recorder(tmp_path), voice=synth.ToneVoice())
     first = narrate.run(spark, s).collect()
     assert len(first) == 5 and len(s.provider.calls()) == 2
     with wave.open(first[0].path) as f:
         assert f.getnframes() == first[0].n_samples > 0
     assert narrate.run(spark, s).count() == 0 and not s.provider.calls()
     os.remove(first[0].path)
-    before = {p: os.stat(p).st_mtime_ns for d, _, n in os.walk(tmp_path / "w/audio") for p in (os.path.join(d, x) for x in n)}
+    before = {p: os.stat(p).st_mtime_ns for d, _, n in os.walk(tmp_path / "w/audio-tone") for p in (os.path.join(d, x) for x in n)}
     again = narrate.run(spark, s).collect()
     assert [r.path for r in again] == [first[0].path] and not s.provider.calls()
-    assert before == {p: os.stat(p).st_mtime_ns for d, _, n in os.walk(tmp_path / "w/audio") for p in (os.path.join(d, x) for x in n)}
+    assert before == {p: os.stat(p).st_mtime_ns for d, _, n in os.walk(tmp_path / "w/audio-tone") for p in (os.path.join(d, x) for x in n)}
+
+
+class Counting(synth.ToneVoice):
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def speak(self, *args):
+        with open(os.path.join(self.folder, "spoken"), "a") as f:
+            f.write(args[1] + "\n")
+        return super().speak(*args)
+
+    def spoken(self):
+        path = os.path.join(self.folder, "spoken")
+        found = open(path).read().splitlines() if os.path.exists(path) else []
+        if found:
+            os.remove(path)
+        return found
+
+
+def test_relative_folders_find_their_audio(spark, shelf, tmp_path):
+    # relative to where the session began
+    base = os.path.relpath(tmp_path)
+    said = []
+    s = narrate.Settings(books=shelf, work=f"{base}/w", output=f"{base}/o", voices=f"{base}/v", cast=f"{base}/c", provider=Recorder(tmp_path), voice=Counting(tmp_path), say=said.append)
+    first = narrate.run(spark, s).collect()
+    assert len(first) == 5 and s.voice.spoken() and s.provider.calls()
+    assert any(x.startswith("deux_tomes: 2 chapters, 0") for x in said) and "chapters written: 5" in said
+    for r in first:
+        os.remove(r.path)
+    said.clear()
+    # the chapters are put together again from what is there: no call of a model, and no job
+    assert len(narrate.run(spark, s).collect()) == 5
+    assert not s.provider.calls() and not s.voice.spoken()
+    assert any(x.endswith(" 0 of them to synthesize") for x in said)
+
+
+class Failing(Recorder):
+    def annotate(self, text, roster, preceding):
+        found = super().annotate(text, roster, preceding)
+        if self.fails in text:
+            raise OSError("no answer")
+        return found
+
+
+def test_a_failing_chapter_keeps_the_others(spark, shelf, tmp_path):
+    provider = Failing(tmp_path)
+    provider.fails = "— b"  # in the sections book; the other book's dialogue is fine
+    s = narrate.Settings(books=shelf, work=str(tmp_path / "w"), output=str(tmp_path / "o"), voices=str(tmp_path / "v"), cast=str(tmp_path / "c"), provider=provider, voice=synth.ToneVoice(), wave=2)
+    with pytest.raises(annotate.AnnotationError, match="sections, chapter 1: annotation failed 2 times"):
+        narrate.run(spark, replace(s, wave=100))
+    # two attempts in all, whatever Spark would repeat
+    assert sorted(c[0] for c in provider.calls()) == ["dit-il : — Bonjour.", "— b", "— b"]
+    kept = cache.read(spark, s.caches, "annotations")
+    assert {(r.book_id, r.chapter_number) for r in kept.collect()} == {("deux_tomes", 1), ("deux_tomes", 2), ("sections", 1), ("sections", 2), ("sections", 3)}
+    # the failing chapter's passages before the failing one are kept too
+    assert [r.passage_idx for r in kept.where("book_id = 'sections' and chapter_number = 1").orderBy("passage_idx").collect()] == [0, 1]
+    provider.fails = "nothing at all"
+    assert len(narrate.run(spark, s).collect()) == 5
+    assert [c[0] for c in provider.calls()] == ["— b"]
+    # another provider doesn't take these answers for its own
+    assert cache.read(spark, replace(s, provider=Named()).caches, "annotations").count() == 0
+
+
+class Named(annotate.RuleProvider):
+    name = "another"
+
+
+def test_many_versions_become_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cache, "MOST_VERSIONS", 3)
+    for k in range(9):
+        cache.commit(spark.createDataFrame([("b", k % 4, str(k))], schemas.TONE_CACHE), str(tmp_path), "tones")
+    assert {r.chapter_number: r.instruct for r in cache.read(spark, str(tmp_path), "tones").collect()} == {0: "8", 1: "5", 2: "6", 3: "7"}
+    assert len(cache.versions(spark, f"{tmp_path}/tones")) <= 4
+
+
+def test_canonical_paths(spark, tmp_path):
+    assert config.canonical(spark, str(tmp_path)) == config.canonical(spark, f"file:{tmp_path}") == config.canonical(spark, f"file://{tmp_path}") == str(tmp_path)
+    assert config.canonical(spark, "some/where").startswith("/") and config.canonical(spark, "some/where").endswith("/some/where")
+
+
+def test_clashing_overrides(spark):
+    lines = spark.createDataFrame([("x", "male", False, False)], "speaker string, speaker_gender string, speaker_is_child boolean, is_narrator boolean")
+    pinned = spark.createDataFrame([("x", "B"), ("x", "A"), ("x", "C")], "speaker string, voice string").repartition(3)
+    assert cast.assign_voices(lines, pinned).first()["voice"] == "A"
 
 
 def test_command_line(capsys):
     from fabula.__main__ import settings
 
-    s = settings(["--book", "x.epub", "--all-chapters", "--skip-tts", "--no-narrator-tone"])
+    s = settings(["--book", "x.epub", "--all-chapters", "--skip-tts", "--no-narrator-tone", "--stand-ins"])
     assert (s.chapter, s.skip_tts, s.narrator_tone, s.workers) == (None, True, False, 2)
-    assert settings(["--book", "x"]).chapter == 1
-    for bad in (["--book", "x", "--workers", "0"], ["--book", "x", "--chapter", "2", "--all-chapters"], []):
+    assert settings(["--book", "x", "--stand-ins"]).chapter == 1
+    # without the libraries of the models there is no silent replacement
+    for bad in (["--book", "x"], ["--book", "x", "--workers", "0"], ["--book", "x", "--chapter", "2", "--all-chapters"], []):
         with pytest.raises(SystemExit):
             settings(bad)
 
