@@ -24,6 +24,10 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUE = np.random.default_rng(20240817).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: The same for a second hash, where 64 bits are too few.
+_OTHER_BASE = 0xD1342543DE82EF95
+_OTHER_INVERSE = pow(_OTHER_BASE, -1, 1 << 64)
+_OTHER_VALUE = np.random.default_rng(20250211).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 _ASCII = np.arange(256)
 _IS_SPACE = (_ASCII == 32) | ((_ASCII >= 9) & (_ASCII <= 13))
@@ -124,6 +128,12 @@ class TextBatch:
         prefix = self._prefix(True) if lower else self._prefix_exact
         return mix((prefix[ends] - prefix[starts]) * _power_table(_INVERSE, len(prefix))[starts] + (ends - starts).astype(np.uint64))
 
+    def other_hash_spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A second 64-bit hash of data[start:end], independent of the first."""
+        prefix = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_OTHER_VALUE[self.data] * _power_table(_OTHER_BASE, len(self.data)), out=prefix[1:])
+        return mix((prefix[ends] - prefix[starts]) * _power_table(_OTHER_INVERSE, len(prefix))[starts] + (ends - starts).astype(np.uint64))
+
     def word_hashes(self, lower: bool = False) -> np.ndarray:
         return self.hash_spans(*self._word_spans, lower=lower)
 
@@ -192,8 +202,8 @@ def salted(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return mix(hashes ^ (owner.astype(np.uint64) * _U(_BASE) + _U(1)))
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, TextBatch]]:
-    """The batch in runs of rows with at most `limit` bytes of text together (or one row)."""
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[tuple[pa.RecordBatch, TextBatch]]:
+    """The batch in runs of at most `rows` rows with at most `limit` bytes of text together (or one row)."""
     texts = batch.column(column)
     if texts.null_count:
         texts = texts.fill_null("")
@@ -204,7 +214,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-        to = min(to, len(texts))
+        to = min(to, at + rows, len(texts))
         yield batch.slice(at, to - at), TextBatch(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
     release()  # Python workers live on between tasks
