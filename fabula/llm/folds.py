@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,3 +21,19 @@ def bounded_labels(labels: DataFrame, label: str, rows: int, n_folds: int = 5, h
     """
     one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(fold(key, n_folds) != held_out).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("double").alias("__label"))
     return one.orderBy(F.xxhash64("__key"), "__key").limit(rows)
+
+
+#: Groups that a bounded sample of rows is taken from, each on its own.
+BUCKETS = 8
+
+
+def bounded_rows(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """At most about 2 x `rows` rows of df, which differ in `by`, in BUCKETS groups by a hash of these.
+
+    A sample by keys has so many rows only if keys repeat: however often one
+    does, the sample stays bounded, and rows that agree count once.
+    """
+    once = df.dropDuplicates(list(by))
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.xxhash64(*by, F.lit(14)), *by))
+    numbered = once.withColumn("__bucket", F.pmod(F.xxhash64(*by, F.lit(13)), F.lit(BUCKETS))).withColumn("__n", place)
+    return numbered.where(F.col("__n") <= math.ceil(2 * rows / BUCKETS)).drop("__bucket", "__n")

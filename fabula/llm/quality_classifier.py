@@ -6,8 +6,11 @@ from normal equations, which each partition sums on its own; the raw score is
 then calibrated to a probability by isotonic regression over a histogram of
 scores of rows that the ridge fit hasn't seen.
 
-The fit uses at most FIT_ROWS labelled documents (chosen by hash, outside the
-held-out fold).  Scoring reads whole texts of all rows.  Null and empty texts get
+The fit uses at most FIT_ROWS labelled ids (chosen by hash, outside the held-out
+fold), and at most twice as many rows of them where ids repeat; rows that agree in
+id and text are one.  One in five of these is left out of the ridge fit and
+calibrates, at least one of each label; of a label with a single row, that row does
+both.  Scoring reads whole texts of all rows.  Null and empty texts get
 the score of all-zero statistics.  Without labels every score is the prior 0.5,
 or the label where there is but one.  Nothing but the text is an input.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import docstats
-from .folds import bounded_labels
+from .folds import bounded_labels, bounded_rows
 from .textbatch import chunks
 
 FIT_ROWS = 20_000
@@ -72,16 +75,16 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _labelled_statistics(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str, key: str) -> DataFrame:
-    """stats (array), label and part of at most `rows` labelled documents; keys are few, so they go to each task."""
+    """stats (array), label and place (a hash) of at most `rows` labelled documents; keys are few, so they go to each task."""
     chosen = bounded_labels(labels, label, rows, key=key)
-    picked = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key")
+    met = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key").withColumn("__place", F.xxhash64("__key", "text", F.lit(SEED)))
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, b in chunks(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(list(docstats.statistics(b)), pa.list_(pa.float64())), part.column("__label"), part.column("__part")], names=["stats", "label", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(docstats.statistics(b)), pa.list_(pa.float64())), part.column("__label"), part.column("__place")], names=["stats", "label", "place"])
 
-    return picked.withColumn("__part", F.pmod(F.xxhash64("__key", F.lit(SEED)), F.lit(5))).mapInArrow(stats, "stats array<double>, label double, part long")
+    return bounded_rows(met.mapInArrow(stats, "stats array<double>, label double, place long"), rows, "place")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, text: str = "text", key: str = "doc_id", features: int = FEATURES) -> Model:
@@ -110,7 +113,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "rhs": [right.tobytes()]})
 
     # at most `rows` short rows, so a few partitions and as many sums
-    parts = known.where("part != 0").coalesce(8).mapInArrow(sums, "gram binary, rhs binary").collect()
+    # the first row of each label calibrates too; where a label has no other, it does both
+    first = [(r["place"], r["n"]) for r in known.groupBy("label").agg(F.min("place").alias("place"), F.count("*").alias("n")).collect()]
+    spare = (F.pmod("place", F.lit(5)) == 0) | F.col("place").isin([x for x, _ in first])
+    fitted = known.where(~spare | F.col("place").isin([x for x, n in first if n == 1]))
+    seen = known.where(spare)
+    parts = fitted.coalesce(8).mapInArrow(sums, "gram binary, rhs binary").collect()
     gram = sum(np.frombuffer(p["gram"]) for p in parts).reshape(features + 1, features + 1)
     right = sum(np.frombuffer(p["rhs"]) for p in parts)
     n = max(gram[-1, -1], 1.0)
@@ -125,8 +133,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
                 bins = np.clip(np.floor((ridge.raw(np.array(batch.column("stats").to_pylist())) + 1) / 3 * BINS), 0, BINS - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column("label")], names=["bin", "label"])
 
-    # rows that the ridge fit left out, unless there are too few of them
-    seen = known.where("part = 0") if known.where("part = 0").agg(F.count_distinct("label")).first()[0] == 2 else known
     bins = seen.mapInArrow(histogram, "bin long, label double").groupBy("bin").agg(F.avg("label").alias("y"), F.count("*").alias("w")).orderBy("bin").collect()
     x = np.array([(b["bin"] + 0.5) / BINS * 3 - 1 for b in bins])
     steps, levels = isotonic(x, np.array([b["y"] for b in bins]), np.array([float(b["w"]) for b in bins]))
@@ -135,7 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `carry` columns of every row of docs and its score, 0 to 1."""
+    """The `carry` columns of every row of docs and its score, 0 to 1.
+
+    Repeated rows are scored each; columns other than the text and `carry` aren't
+    read, and `carry` may have any names but that of the score.
+    """
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,9 @@ Features say which words a document has, and which beginnings of words (4 to 6
 bytes), lower-cased by ASCII and hashed to BUCKETS places; the classifier uses
 at most SELECTED places whose frequency in P and U differs most.
 
-The fit uses at most P_ROWS and U_ROWS documents (by hash, outside the held-out
-fold).  Whole texts are scored.  Null and empty texts get the score of no
+The fit uses at most P_ROWS and U_ROWS ids (by hash, outside the held-out
+fold), and at most twice as many rows of them where ids repeat; rows that agree
+in id and text are one.  Whole texts are scored.  Null and empty texts get the score of no
 feature.  Without toxic examples every score is 0.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .folds import bounded_labels, fold
+from .folds import bounded_labels, bounded_rows, fold
 from .scratch import drop, settle
 from .textbatch import TextBatch, chunks, mix
 
@@ -129,9 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     hashed = F.pmod(F.xxhash64("__key", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     unlabelled = own.select("__key").where(F.col("__key").isNotNull() & (fold("__key", 5) != 0)).where(hashed < min(1.0, 1.5 * u_rows / max(total, 1))).distinct()
     unlabelled = unlabelled.orderBy(F.xxhash64("__key", F.lit(5)), "__key").limit(u_rows).select("__key", F.lit(False).alias("p"))
-    # at most p_rows + u_rows keys go to each task, and as many texts (but for repeated ids) come back, in 8 parts
+    # at most p_rows + u_rows keys go to each task
     chosen = F.broadcast(toxic.unionByName(unlabelled))
-    sample = settle(own.join(chosen, "__key").select("text", "p").repartition(8), "pu-sample")
+    met = own.join(chosen, "__key").withColumn("__mark", F.xxhash64("text"))
+    sides = [bounded_rows(met.where(F.col("p") == side), rows, "__key", "__mark").select("text", "p") for side, rows in ((True, p_rows), (False, u_rows))]
+    sample = settle(sides[0].unionByName(sides[1]).repartition(8, F.xxhash64("text", "p")), "pu-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
@@ -180,7 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and score of every row, from its text alone."""
+    """key and score of every row, from its text alone.
+
+    Repeated rows are scored each; columns other than key and text aren't read, so
+    they may have any names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
