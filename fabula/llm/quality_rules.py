@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule accepts or rejects a document.  The cascade first measures every rule
-on a sample (`calibrate`): its cost in seconds a document and the share that it
-rejects.  Rules then run in order of rejections per second, each one only on the
-documents that all before it accepted.  The verdict is the conjunction of the
-rules, so it doesn't depend on the order, on the sample or on timing.
+on a sample (`calibrate`): its cost in seconds a document, on top of the base
+statistics, and the share that it rejects.  Rules then run in order of rejections
+per second, on the documents that all before it accepted; rejected ones leave a
+batch when they make up a quarter of it, for a smaller batch has to be copied.  The
+verdict is the conjunction of the rules, so it doesn't depend on the order, on the
+sample or on timing.
 
 Defined results: a null or empty text has no words; rules that divide count an
 empty denominator as one.  Any columns beside the text pass through untouched.
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,7 +74,7 @@ def top_word_share(b: TextBatch) -> np.ndarray:
 
 RULES = tuple(Rule(f.__name__, f) for f in (mean_word_length, symbol_share, capital_share, letter_share, repeated_lines, stuttering, top_word_share))
 
-#: Calibration looks at this many runs of documents of about 64 KB, at most.
+#: Calibration looks at this many runs of documents of about 64 KB, about, from partitions all over the table.
 SAMPLE_RUNS = 48
 
 MIN_WORDS = 20
@@ -92,17 +95,24 @@ class Measured:
 def calibrate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_runs: int = SAMPLE_RUNS) -> list[Measured]:
     """Cost and selectivity of each rule, the most rejecting for its cost first.
 
-    The executors measure the first `sample_runs` runs of documents; one small
-    row for each run and rule comes back.  Spark begins with one partition and
-    goes on only if it has too few, so a large table isn't scanned.
+    Partitions spread evenly over the table give their first runs of documents, so
+    that about `sample_runs` are measured; the others end at once, and no
+    partition is read further.  One small row for each run and rule comes back.
     """
+    texts = df.select(F.col(text).alias("__text"))
+    parts = max(texts.rdd.getNumPartitions(), 1)
+    stride, runs = max(1, parts // sample_runs), max(1, sample_runs // parts)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() % stride:
+            return
+        left = runs
         for batch in batches:
             for _, b in chunks(batch, "__text", 64 << 10):
                 rows = {"rule": [], "ns": [], "rejected": [], "docs": []}
                 for k, rule in enumerate(rules):
                     fresh = TextBatch(b.data, b.bounds)
+                    base_statistics(fresh)  # what these have found is there for the rules
                     began = time.perf_counter_ns()
                     verdict = rule.accepts(fresh)
                     rows["ns"].append(time.perf_counter_ns() - began)
@@ -110,8 +120,11 @@ def calibrate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
                     rows["rejected"].append(int((~verdict).sum()))
                     rows["docs"].append(b.n)
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(c, pa.int64()) for c in rows]))
+                left -= 1
+                if not left:
+                    return
 
-    found = df.select(F.col(text).alias("__text")).mapInArrow(measure, "rule long, ns long, rejected long, docs long").limit(sample_runs * len(rules)).collect()
+    found = texts.mapInArrow(measure, "rule long, ns long, rejected long, docs long").collect()
     out = []
     for k, rule in enumerate(rules):
         own = [r for r in found if r["rule"] == k]
