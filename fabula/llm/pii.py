@@ -166,12 +166,13 @@ def find_pii(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the hash of their spans, and all spans as text."""
+    """Counts of the base kinds, the hash of their spans, all spans as text, and counts of the added kinds (n_url, n_secret, n_iban, n_account) and of all (n_spans)."""
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
     kinds = F.transform("found", lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select(key, *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
+    count = lambda k: (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}")
+    added = [*map(count, KINDS[len(BASE_KINDS) :]), F.size("found").cast("long").alias("n_spans")]
+    return found.select(key, *map(count, BASE_KINDS), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), *added)
 
 
 def mask(text: str, found: list[Span]) -> str:

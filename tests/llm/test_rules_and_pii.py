@@ -108,4 +108,5 @@ def test_pii_query(spark):
         assert r.base_sha256 == hashlib.sha256(pii.joined(spans).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s.kind == k for s in spans) for k in pii.BASE_KINDS)
         assert r.spans == pii.joined(pii.spans(text))
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s.kind == k for s in pii.spans(text)) for k in pii.KINDS] and r.n_spans == len(pii.spans(text))
     assert pii.find_pii(df.limit(0)).count() == 0
