@@ -1,24 +1,31 @@
 """Packing documents into token windows by lexical retrieval.
 
-Documents are dealt by a hash of their id into shards of about SHARD_DOCS.  In
-its shard every document has its place in a BM25 inverted index over token ids,
-whose document frequencies, number of documents and mean length are the whole
-corpus's.  A document is never compared with those of other shards.
-A seed document opens a window; the index returns its nearest documents that
-haven't been used, and those that fit are put in, best first.  What space is
-left is filled with the beginning of the best remaining document, whose rest
-opens the next window.  So every window of a shard is full but the last; that one
-is cut into windows whose sizes are powers of two, which need no padding.
+Documents are dealt by content into shards of about SHARD_TOKENS ids.  In its shard
+every document has its place in a BM25 inverted index over token ids, whose document
+frequencies, number of documents and mean length are the whole corpus's.  A seed
+document opens a window; the index returns its nearest documents that haven't been
+used, and those that fit are put in, best first.  What space is left is filled with
+the beginning of the best remaining document, whose rest opens the next window.  So
+every window of a shard is full but the last; that one is cut into windows whose
+sizes are powers of two, which need no padding.
+
+Shards by content: SIGNS min-hashes over a document's ids, in which an id counts by its
+BM25 weight for rarity (idf), agree for two documents with odds of their weighted overlap.
+Documents in order of these (then of a hash of contents and key) are cut into
+shards, so copies and documents that share rare ids are in one shard, or in the next
+if there are more of them than a shard holds.  The order is found from a table of a
+few numbers a document; limits of partitions are its quantiles by ids, so
+no partition and no shard grows with the data or with a repeated text.
 
 A document's ids are those of its words and then END.  A null or empty text is END
-alone.  Repeated rows are documents of their own; all columns but key and text
-are ignored.  Results don't depend on the order of rows or partitions, for
-documents are taken in order of id and ids' contents.
+alone.  Of a document with more than GIANT ids, whole windows are cut off first, in rows
+of their own.  Repeated rows are documents of their own; all columns but key and text
+are ignored.  Results don't depend on the order of rows or partitions: rows that agree
+in key and text may change places, which can't be told.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +36,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import settle
+from .scratch import drop, settle
 from .textbatch import chunks, release
 from .tokens import ragged, word_tokenizer
 
 WINDOW = 4096
 END = 2
-SHARD_DOCS = 512
+#: Ids of a shard, about; a shard's documents are held by one task, with their index.
+SHARD_TOKENS = 1 << 18
+#: Ids that a partition has, about, and the most partitions and shards of one (they are parts of a number).
+PART_TOKENS, MOST_PARTS, MOST_SHARDS = 1 << 21, 1 << 18, 1 << 13
+MOST_TASKS = 50_000
+#: Windows of a document in one row; a longer document has several.
+GIANT_WINDOWS = 16
+#: Min-hashes that order documents; 16 bits each.
+SIGNS = 4
 #: Text whose words are looked up together.
 RUN_BYTES = 2 << 20
 #: Documents whose ids are counted together.
@@ -165,8 +180,15 @@ _PIECES = T.StructType([
 ])
 
 
-def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end: int = END) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit, `end` last) of every row."""
+def id_kind(tokenizer: str) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    return "<u2" if max(word_tokenizer(tokenizer).tokenizer.get_vocab_size(), END + 1) <= 1 << 16 else "<u4"
+
+
+def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end: int = END, window: int = WINDOW) -> DataFrame:
+    """doc_id, start, doc_tokens, whole and ids (END last) of every row of docs; of long ones, rows of whole windows go before."""
+    giant = GIANT_WINDOWS * window
+    kind = id_kind(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokenizer(tokenizer)
@@ -174,31 +196,44 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "do
             for part, b in chunks(batch, "__text", RUN_BYTES):
                 ids, bounds = words.encode(b)
                 bounds_out = bounds + np.arange(b.n + 1)
-                out = np.full(len(ids) + b.n, end, "<u4")
+                out = np.full(len(ids) + b.n, end, kind)
                 keep = np.ones(len(out), bool)
                 keep[bounds_out[1:] - 1] = False
                 out[keep] = ids
-                yield pa.RecordBatch.from_arrays([part.column("__key"), ragged(out, bounds_out)], names=["doc_id", "ids"])
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("ids", T.BinaryType())])
+                sizes = np.diff(bounds_out)
+                rows = np.maximum(-(-sizes // giant), 1)
+                owner = np.repeat(np.arange(b.n), rows)
+                start = (np.arange(len(owner)) - np.repeat(np.cumsum(rows) - rows, rows)) * giant
+                cuts = np.append(bounds_out[owner] + start, bounds_out[-1])
+                last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
+                place = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([part.column("__key").take(place), pa.array(start), pa.array(sizes[owner]), pa.array(~last), ragged(out, cuts)], names=["doc_id", "start", "doc_tokens", "whole", "ids"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("start", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("ids", T.BinaryType())])
     return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def corpus_of(tokens: DataFrame) -> Corpus:
-    """Statistics of all rows of `tokens`; ids are a tokenizer's, so there are few different ones."""
+def _pairs(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of a few documents, and (document, id) of each different id of each."""
+    raw = [x.as_buffer() for x in column]
+    sizes = np.array([r.size // np.dtype(kind).itemsize for r in raw], np.int64)
+    ids = np.frombuffer(b"".join(raw), kind).astype(np.int64)
+    pairs = np.unique(np.repeat(np.arange(len(raw)), sizes) << 32 | ids)
+    return sizes, pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def corpus_of(tokens: DataFrame, kind: str = "<u4") -> Corpus:
+    """Statistics of all rows of `tokens` (without whole windows cut off); ids are a tokenizer's, so there are few different ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, size = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
-                raw = [x.as_buffer() for x in batch.column("ids").slice(at, AT_ONCE)]
-                sizes = np.array([r.size // 4 for r in raw], np.int64)
-                ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
-                pairs = np.unique(np.repeat(np.arange(len(raw)), sizes) << 32 | ids)
-                found = np.bincount(pairs & 0xFFFFFFFF)
+                sizes, _, ids = _pairs(batch.column("ids").slice(at, AT_ONCE), kind)
+                found = np.bincount(ids)
                 df = np.pad(df, (0, max(0, len(found) - len(df))))
                 df[: len(found)] += found
-                docs, size = docs + len(raw), size + int(sizes.sum())
+                docs, size = docs + len(sizes), size + int(sizes.sum())
             release()
         terms = np.flatnonzero(df)
         # ids -1 and -2 stand for the number of documents and of all their ids
@@ -211,37 +246,145 @@ def corpus_of(tokens: DataFrame) -> Corpus:
     return Corpus(docs, size / max(docs, 1), df)
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def clocks(corpus: Corpus, signs: int = SIGNS) -> np.ndarray:
+    """A waiting time for each sign and id, the shorter the rarer the id: the id with the shortest is a document's min-hash."""
+    idf = np.log1p((corpus.docs - corpus.df + 0.5) / (corpus.df + 0.5))
+    # an id of one document only can't be shared
+    return np.where(corpus.df > 1, np.random.default_rng(10).exponential(size=(signs, len(corpus.df))) / np.maximum(idf, 1e-12), np.inf)
+
+
+def _signed(column: pa.Array, waits: np.ndarray, kind: str) -> np.ndarray:
+    """64 bits for each document: its min-hashes, the first one highest."""
+    sizes, doc, ids = _pairs(column, kind)
+    heads = np.searchsorted(doc, np.arange(len(sizes)))
+    out = np.zeros(len(sizes), np.uint64)
+    for wait in waits:
+        own = wait[ids]
+        least = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(doc))))
+        pick = np.full(len(sizes), 1 << 62)
+        np.minimum.at(pick, doc, np.where(own == least, ids, 1 << 62))
+        out = (out << np.uint64(16)) | (pick.astype(np.uint64) & np.uint64(0xFFFF))
+    return (out ^ np.uint64(1 << 63)).view(np.int64)  # in order as signed numbers
+
+
+def _limits(ordered: DataFrame, parts: int, total: int) -> np.ndarray:
+    """First (sign, mix, row) of each part but the first: the quantiles by ids of all documents in that order."""
+    step = -(-total // parts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto = 0
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            after = upto + np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sign", "mix", "row", "part")), pa.array((after - size).astype(np.int64)), pa.array(after.astype(np.int64))], names=["sign", "mix", "row", "part", "before", "after"])
+            upto = int(after[-1]) if len(after) else upto
+
+    added = settle(ordered.repartitionByRange("sign", "mix", "row").sortWithinPartitions("sign", "mix", "row").withColumn("part", F.spark_partition_id()).mapInArrow(add, "sign long, mix long, row long, part int, before long, after long"), "places")
+    # one number for each partition
+    totals = sorted((r["part"], r["n"]) for r in added.groupBy("part").agg(F.max("after").alias("n")).collect())
+    offset = F.create_map(*(F.lit(x) for (part, _), n in zip(totals, np.cumsum([0, *(n for _, n in totals)]), strict=False) for x in (part, int(n))))
+    # a part begins where the ids before it pass a multiple of `step`: at most `parts` rows
+    first = added.select("sign", "mix", "row", (F.col("before") + offset[F.col("part")]).alias("b"), (F.col("after") + offset[F.col("part")]).alias("a")).where(F.floor((F.col("b") + step - 1) / step) * step < F.col("a"))
+    found = sorted((r["sign"], r["mix"], r["row"]) for r in first.select("sign", "mix", "row").collect())
+    drop(added)
+    return np.array(found[1:], [("sign", "<i8"), ("mix", "<i8"), ("row", "<i8")])
+
+
+def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    sequence_id is the shard times 2**32 plus the window's number in it.
+    sequence_id is the shard times 2**32 plus the window's number in it; windows cut off
+    from long documents beforehand have negative ones.
     """
-    tokens = settle(tokenize(docs, tokenizer, text, key), "tokens", {"parquet.block.size": IDS_BYTES, "parquet.enable.dictionary": "false"})
-    corpus = corpus_of(tokens)
-    shards = max(1, math.ceil(corpus.docs / shard_docs))
+    kind = id_kind(tokenizer)
+    tokens = tokenize(docs, tokenizer, text, key, window=window).withColumn("row", F.monotonically_increasing_id())
+    tokens = settle(tokens, "tokens", {"parquet.block.size": IDS_BYTES, "parquet.enable.dictionary": "false"})
+    rest = tokens.where("not whole").select("row", "doc_id", "start", "doc_tokens", "ids")
+    corpus = corpus_of(rest, kind)
+    total = round(corpus.mean * corpus.docs)
+    parts = max(1, min(MOST_PARTS, -(-total // part_tokens)))
+    waits = clocks(corpus)
+    # documents of one sign in an order that has nothing to do with their rows
+    marked = rest.withColumn("mix", F.xxhash64("ids", "doc_id"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                few = batch.slice(at, AT_ONCE)
+                size = [x.as_buffer().size // np.dtype(kind).itemsize for x in few.column("ids")]
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(few.column("ids"), waits, kind)), few.column("mix"), few.column("row"), pa.array(size, pa.int64())], names=["sign", "mix", "row", "size"])
+            release()
+
+    signs = settle(marked.select("ids", "mix", "row").mapInArrow(sign, "sign long, mix long, row long, size long"), "signs")
+    limits = _limits(signs, parts, total) if parts > 1 else np.zeros(0, [("sign", "<i8"), ("mix", "<i8"), ("row", "<i8")])
+    drop(signs)
+    columns = rest.columns
+    keyed = T.StructType([T.StructField("part", T.LongType()), T.StructField("sign", T.LongType()), T.StructField("mix", T.LongType()), *rest.schema.fields])
 
-    def run(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                few = batch.slice(at, AT_ONCE)
+                own = np.zeros(few.num_rows, limits.dtype)
+                own["sign"], own["mix"], own["row"] = _signed(few.column("ids"), waits, kind), few.column("mix").to_numpy(), few.column("row").to_numpy()
+                part = np.searchsorted(limits, own, side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(own["sign"]), few.column("mix"), *(few.column(c) for c in columns)], names=keyed.names)
+            release()
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        part, shard, size = -1, 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                few = batch.slice(at, AT_ONCE)
+                sizes = np.array([x.as_buffer().size // np.dtype(kind).itemsize for x in few.column("ids")])
+                own = few.column("part").to_numpy()
+                lo = 0
+                for i in range(few.num_rows):
+                    if own[i] != part or size + sizes[i] > shard_tokens and size:
+                        held.append(few.slice(lo, i - lo))
+                        if size:
+                            yield packed(pa.Table.from_batches(held), part * MOST_SHARDS + shard)
+                        shard = shard + 1 if own[i] == part else 0
+                        if shard >= MOST_SHARDS:
+                            raise RuntimeError(f"a part has more than {MOST_SHARDS} shards")
+                        held, size, lo, part = [], 0, i, int(own[i])
+                    size += int(sizes[i])
+                held.append(few.slice(lo))
+        if size:
+            yield packed(pa.Table.from_batches(held), part * MOST_SHARDS + shard)
+
+    def packed(group: pa.Table, shard: int) -> pa.RecordBatch:
         keys = group.column("doc_id").to_numpy(zero_copy_only=False)
-        raw = [x.as_buffer() for x in group.column("ids").combine_chunks()] if group.num_rows else []
-        raw = [memoryview(x) for x in raw]
+        raw = [memoryview(x.as_buffer()) for c in group.column("ids").chunks for x in c]
         order = sorted(range(len(raw)), key=lambda i: (keys[i] is None or keys[i] != keys[i], keys[i] if keys[i] == keys[i] else 0, len(raw[i]), zlib.crc32(raw[i])))
-        arrays = [np.frombuffer(raw[i], "<u4") for i in order]
+        arrays = [np.frombuffer(raw[i], kind) for i in order]
         bounds = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)])
-        ids = np.concatenate(arrays)
-        pieces = pack_shard(ids, bounds, window, corpus)
-        doc = np.array([p.doc for p in pieces], np.int64)
-        start = np.array([p.start for p in pieces], np.int64)
-        length = np.array([p.length for p in pieces], np.int64)
+        ids = np.concatenate(arrays).astype("<u4")
+        found = pack_shard(ids, bounds, window, corpus)
+        doc, start, length, sequence, offset = (np.array([getattr(p, f) for p in found], np.int64) for f in ("doc", "start", "length", "sequence", "offset"))
         crc = [zlib.crc32(ids[a : a + k]) for a, k in zip(bounds[doc] + start, length, strict=True)]
-        names = [f.name for f in _PIECES]
-        columns = [
-            group.column("doc_id").combine_chunks().take(pa.array(np.array(order, np.int64)[doc])), start, length, np.array(crc, np.int64), np.diff(bounds)[doc],
-            (shard << 32) + np.array([p.sequence for p in pieces], np.int64), np.array([p.offset for p in pieces], np.int64),
-        ]
+        place = pa.array(np.array(order, np.int64)[doc])
+        before = group.column("start").to_numpy()[order]
+        out = pa.RecordBatch.from_arrays([
+            pa.concat_arrays(group.column("doc_id").chunks).take(place), pa.array(before[doc] + start), pa.array(length), pa.array(crc, pa.int64()), pa.concat_arrays(group.column("doc_tokens").chunks).take(place),
+            pa.array((shard << 32) + sequence), pa.array(offset),
+        ], names=_PIECES.names)
         release()
-        return pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=names)
+        return out
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), kind).astype("<u4")
+                at = np.arange(0, len(ids), window)
+                row = pa.array(np.full(len(at), i))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").take(row), pa.array(batch.column("start")[i].as_py() + at), pa.array(np.full(len(at), window)), pa.array([zlib.crc32(ids[a : a + window]) for a in at], pa.int64()), batch.column("doc_tokens").take(row),
+                    pa.array(-1 - (batch.column("row")[i].as_py() * GIANT_WINDOWS + np.arange(len(at)))), pa.array(np.zeros(len(at), np.int64)),
+                ], names=_PIECES.names)
 
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), *_PIECES.fields[1:]])
-    return dealt.groupBy("shard").applyInArrow(run, schema)
+    dealt = marked.select(*columns, "mix").mapInArrow(place, keyed).repartition(min(parts, MOST_TASKS), F.xxhash64("part", F.lit(3)))
+    shards = dealt.sortWithinPartitions("part", "sign", "mix", "row").mapInArrow(windows, schema)
+    return shards.unionAll(tokens.where("whole").select("row", "doc_id", "start", "doc_tokens", "ids").mapInArrow(cut, schema))

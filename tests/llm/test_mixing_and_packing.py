@@ -135,7 +135,7 @@ def test_pack(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "délta."]) for _ in range(rng.choice([3, 50, 6000])))) for i in range(40)] + [(100, None), (101, ""), (7, "again"), (7, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("x")).withColumn("shard", F.lit(1))
-    got = packing.pack(df.repartition(3), tokenizer_path(), shard_docs=15).collect()
+    got = packing.pack(df.repartition(3), tokenizer_path(), shard_tokens=9000, part_tokens=20_000).collect()
     tokenizer = WordTokenizer(tokenizer_path()).tokenizer
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
     whole: dict = {}
@@ -155,7 +155,7 @@ def test_pack(spark):
     for spans in fill.values():
         total = sum(n for _, n in spans)
         assert total <= 4096 and total & (total - 1) == 0
-    same = packing.pack(df.repartition(5), tokenizer_path(), shard_docs=15).collect()
+    same = packing.pack(df.repartition(5), tokenizer_path(), shard_tokens=9000, part_tokens=20_000).collect()
     assert sorted(map(tuple, same)) == sorted(map(tuple, got))
     assert packing.pack(df.limit(0), tokenizer_path()).count() == 0
 
@@ -164,7 +164,7 @@ def test_shards_weigh_ids_by_the_whole_corpus(spark):
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "river", "stone", "house", "green", "table", "paper", "light", "north"]
     rows = [(i, " ".join(rng.choices(words, [2**-k for k in range(12)], k=rng.choice([20, 60, 300])))) for i in range(120)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer_path(), window=256, shard_docs=20).collect()
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer_path(), window=256, shard_tokens=3000, part_tokens=6000).collect()
     tokenizer = WordTokenizer(tokenizer_path()).tokenizer
     ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
     df = np.bincount([t for x in ids.values() for t in set(x)])
@@ -185,6 +185,68 @@ def test_shards_weigh_ids_by_the_whole_corpus(spark):
     assert alone
 
 
+def test_long_documents_and_repeated_texts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GIANT_WINDOWS", 3)
+    rng = random.Random(7)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "stone"]) for _ in range(700))
+    # a text that a third of all rows repeat under one id, and one without an id
+    rows = [(1, long), (2, "alpha " * 64), (None, "x")] + [(3, "green table paper " * 9)] * 30 + [(10 + i, " ".join(rng.choice(["light", "north", "river"]) for _ in range(30))) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df.repartition(4), tokenizer_path(), window=64, shard_tokens=400, part_tokens=900).collect()
+    tokenizer = WordTokenizer(tokenizer_path()).tokenizer
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+    of = lambda i: sorted((r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i)
+    for i in (1, 2, 10, None):
+        spans, at = of(i), 0
+        for start, length, crc in spans:
+            assert start == at and crc == zlib.crc32(np.array(ids[i][start : start + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids[i]) == next(r.doc_tokens for r in got if r.doc_id == i)
+    assert sum(n for _, n, _ in of(3)) == 30 * len(ids[3]) and len({r.sequence_id >> 32 for r in got if r.doc_id == 3}) > 3
+    fill: dict = {}
+    for r in got:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in fill.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 64 and at & (at - 1) == 0
+    assert min(fill) < 0
+    again = packing.pack(df.repartition(2), tokenizer_path(), window=64, shard_tokens=400, part_tokens=900).collect()
+    assert sorted(repr(tuple(r)) for r in again if r.sequence_id >= 0) == sorted(repr(tuple(r)) for r in got if r.sequence_id >= 0)
+
+
+def test_copies_share_a_shard(spark):
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("ra", "to", "ne", "su") for c in ("bel", "dor", "fin", "gam")]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(60)]
+    rows = [(k * 1000 + i, t if k == 0 else t + " " + rng.choice(words)) for i, t in enumerate(texts) for k in range(3)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(), shard_tokens=6000, part_tokens=9000).collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in got}
+    assert len(set(shard.values())) > 4
+    # by hash of the id, about one pair in five would meet
+    assert np.mean([shard[i] == shard[1000 + i] for i in range(60)]) > 0.6
+
+
+def test_bm25_is_the_plain_formula():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 40, rng.integers(1, 60)) for _ in range(30)]
+    index = packing.Bm25(np.concatenate(docs).astype(np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+    df = {t: sum(t in d for d in docs) for t in range(40)}
+    mean = np.mean([len(d) for d in docs])
+    for seed in range(0, 30, 7):
+        score = np.zeros(30)
+        for i, d in enumerate(docs):
+            for t in set(docs[seed].tolist()):
+                tf = (d == t).sum()
+                score[i] += np.log1p((30 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        unused = np.arange(30) % 3 > 0
+        want = [i for i in sorted(range(30), key=lambda i: (-round(score[i], 9), i)) if unused[i] and score[i] > 0]
+        have = index.neighbours(seed, unused)
+        assert sorted(have) == sorted(want) and np.allclose(score[have], score[want])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
