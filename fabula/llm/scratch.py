@@ -3,10 +3,14 @@
 A settled table is written as Parquet to the folder that the cluster shares
 (``spark.checkpoint.dir``) and read again: lineage ends there, any executor
 can read it, and a lost executor costs only its running tasks.
+
+Results are lazy, so tables that they read stay until the result has been written.
+Then ``clear`` removes them; what is left when the program ends is removed too.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -15,13 +19,17 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
+_settled: dict[str, SparkSession] = {}
+
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; only where the session names none (tests on one machine), a local one."""
+    """The shared folder.  Only on one machine, and only where the session names none (tests), it is a local one."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"{SETTING} must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="fabula-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -31,18 +39,46 @@ def settle(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write df to the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = f"{folder(spark)}/fabula-{name}-{uuid.uuid4().hex}"
+    _settled[path] = spark
     df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop(df: DataFrame | None) -> None:
     """Remove a settled table that nothing reads any more."""
     if df is None:
         return
-    jvm = df.sparkSession.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = file.rpartition("/")[0]
+        _delete(df.sparkSession, path)
+        for known in [k for k in _settled if k.rpartition("/")[2] == path.rpartition("/")[2]]:
+            del _settled[known]
+
+
+def tables() -> frozenset[str]:
+    """The settled tables that are there now; give it to `clear` later."""
+    return frozenset(_settled)
+
+
+def clear(before: frozenset[str] = frozenset(), keep: DataFrame | None = None) -> None:
+    """Remove all tables settled since `before` but that of `keep`; results that read them must have been written."""
+    kept = {file.rpartition("/")[0].rpartition("/")[2] for file in keep.inputFiles()[:1]} if keep is not None else set()
+    for path in [p for p in _settled if p not in before and p.rpartition("/")[2] not in kept]:
+        _delete(_settled.pop(path), path)
+
+
+@atexit.register
+def _at_end() -> None:
+    for path, spark in list(_settled.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended, and with it the way to its files
+            return
 
 
 def gathered(df: DataFrame, keys: list[str], then: list[str] | None = None) -> DataFrame:
