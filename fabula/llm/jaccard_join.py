@@ -4,7 +4,9 @@ A document's set holds its distinct shingles of N words.  Equal sets are one
 class, known by a fingerprint; the join works on classes.
 
 1. Document frequencies.  Shingles go to groups by range of their hash, packed
-   as arrays (8 bytes a shingle).  A group counts in how many classes each of
+   as arrays (8 bytes a shingle, and 12 for each document with one in the group).
+   Where there are many groups they are dealt in steps, to FAN ranges at a time, so
+   that arrays stay long.  A group counts in how many classes each of
    its shingles is, forgets those that are in one class only, and sends the
    others on to their classes with that frequency.  Shingles in a large share of
    all documents (`hot`) are found beforehand by adding up what each run of
@@ -16,7 +18,9 @@ class, known by a fingerprint; the join works on classes.
 3. Candidates.  Documents that have a prefix shingle in common are candidates if
    lengths allow it, if enough shingles follow at their places (positional
    filter) and if the counts of the remaining shingles in cells of the hash
-   leave enough in common (suffix filter).
+   leave enough in common (suffix filter).  A shingle with more than TOGETHER postings
+   is split by size band and salt; blocks of one band or of adjacent ones meet, each two
+   in a task of their own, so that no task holds more than two blocks of a shingle.
 4. Verification.  Each candidate pair is counted exactly, once.  What is wanted
    is components, so pairs that are already known to be connected needn't be
    looked at.  The first rounds verify a chain of candidates through each rare
@@ -24,8 +28,8 @@ class, known by a fingerprint; the join works on classes.
    connects large groups of copies without making all of their pairs; the last
    round takes every remaining candidate pair between different components.
 
-Shingles are told apart by 48 bits of a 64-bit hash, sets by 64 bits and their
-size.  Words are runs of anything but space and U+0009-U+000D; A-Z count as a-z.
+Shingles are told apart by 48 bits of a 64-bit hash, sets by 128 bits: 64 name a set,
+and sets whose names clash are named by the other 64.  Words are runs of anything but space and U+0009-U+000D; A-Z count as a-z.
 A text with fewer than N words has one shingle, all of its words; a null or empty
 one has none and is linked with nothing.
 """
@@ -33,11 +37,12 @@ one has none and is linked with nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,8 +54,8 @@ from .textbatch import TextBatch, chunks, mix, release
 N = 5
 PERCENT = 80
 
-#: Shingles that a group of step 1 has, about.
-GROUP_SHINGLES = 1_500_000
+#: Shingles that a group of step 1 has, about; ranges that shingles are dealt to at a time; and the most tasks that groups share.
+GROUP_SHINGLES, FAN, MOST_TASKS = 1_000_000, 512, 50_000
 #: Shingles and documents that a task gathers before it sends them to their groups.
 FLUSH_SHINGLES, FLUSH_DOCS = 2_000_000, 60_000
 #: A run of documents has about so many bytes.
@@ -61,8 +66,13 @@ HOT_IN_RUN, HOT_SHARE = 8, 50
 #: So there are at most HOT_TOTAL times as many as a document has on average.
 HOT_DOCS, HOT_TOTAL = 2000, 200
 HOT_RANK = 0xFFFFFFFF
+MOST_CLASHES = 10_000
 CELLS = 256
 
+#: Postings of a shingle in a block, about, and how much larger a band's largest set is than its smallest.
+TOGETHER, BAND = 1000, 1.25
+#: Pairs that are looked at together.
+PAIRS = 200_000
 #: Partners that a document tries at a shingle in a round, and the most rounds before all pairs are tried.
 TOSSES, CHAINS = 2, 3
 
@@ -92,19 +102,25 @@ class Sets:
     keys: np.ndarray  # sorted
     size: np.ndarray  # of each text's set
     mark: np.ndarray  # its fingerprint
+    other: np.ndarray  # a second one
 
     @classmethod
-    def of(cls, b: TextBatch, n: int = N) -> Sets:
+    def of(cls, b: TextBatch, n: int = N, clashing: np.ndarray | None = None) -> Sets:
+        """clashing: fingerprints that different sets have; the second one takes their place."""
         keys = shingle_keys(b, n)
         owner = (keys & _LOW).astype(np.uint16)
         size = np.bincount(owner, minlength=b.n)
-        mark = np.zeros(b.n, np.uint64)
+        mark, other = np.zeros(b.n, np.uint64), np.zeros(b.n, np.uint64)
         if len(keys):
             order = np.argsort(owner, kind="stable")
             full = np.flatnonzero(size)
             first = np.concatenate([[0], np.cumsum(size)])[full]
-            mark[full] = mix(np.add.reduceat(mix((keys & ~_LOW) + _U(1))[order], first) + size[full].astype(np.uint64))
-        return cls(keys, size, mark)
+            values = mix((keys & ~_LOW) + _U(1))[order]
+            mark[full] = mix(np.add.reduceat(values, first) + size[full].astype(np.uint64))
+            other[full] = mix(np.add.reduceat(mix(values ^ _U(0x9E3779B97F4A7C15)), first) ^ size[full].astype(np.uint64))
+        if clashing is not None and len(clashing):
+            mark = np.where(np.isin(mark, clashing), other, mark)
+        return cls(keys, size, mark, other)
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +144,7 @@ def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: a row's key, set size and fingerprint; kind 1: a shingle (mark) that is hot in runs of so many (size) documents."""
+    """kind 0: a row's key, set size and fingerprints; kind 1: a shingle (mark) that is hot in runs of so many (size) documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None
@@ -137,7 +153,7 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
             for part, b in chunks(batch, "__text", RUN_BYTES):
                 sets = Sets.of(b, n)
                 kind = part.column("__key").type
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.n, np.int32)), part.column("__key"), pa.array(sets.size.astype(np.int64)), pa.array(sets.mark.view(np.int64))], names=["kind", "key", "size", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.n, np.int32)), part.column("__key"), pa.array(sets.size.astype(np.int64)), pa.array(sets.mark.view(np.int64)), pa.array(sets.other.view(np.int64))], names=["kind", "key", "size", "mark", "other"])
                 # each class once
                 _, firsts = np.unique(sets.mark, return_index=True)
                 once = np.zeros(b.n, bool)
@@ -152,9 +168,9 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
                     hot = [_added(hot)]
         if hot:
             shingles, count = _added(hot)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(count), np.int32)), pa.nulls(len(count), kind), pa.array(count.astype(np.int64)), pa.array(shingles.view(np.int64))], names=["kind", "key", "size", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(count), np.int32)), pa.nulls(len(count), kind), pa.array(count.astype(np.int64)), pa.array(shingles.view(np.int64)), pa.array(np.zeros(len(count), np.int64))], names=["kind", "key", "size", "mark", "other"])
 
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", docs.schema["__key"].dataType), T.StructField("size", T.LongType()), T.StructField("mark", T.LongType())])
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", docs.schema["__key"].dataType), T.StructField("size", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("other", T.LongType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -184,10 +200,42 @@ def _group(hashes: np.ndarray, groups: int) -> np.ndarray:
 
 _SENT = "grp long, hot boolean, marks binary, sizes binary, shingles binary, docs binary"
 _COUNTED = "grp long, marks binary, sizes binary, counts binary, shingles binary, ranks binary"
+_SENT_SCHEMA = pa.schema([("grp", pa.int64()), ("hot", pa.bool_()), *((c, pa.binary()) for c in ("marks", "sizes", "shingles", "docs"))])
+#: Bytes of packed rows that go to Spark together.
+BATCH_BYTES = 4 << 20
+
+
+def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r.values() if isinstance(x, bytes))
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
 
+def _rows(place: np.ndarray, h: np.ndarray, doc: np.ndarray, mark: np.ndarray, size: np.ndarray, is_hot: bool) -> Iterator[dict]:
+    """A packed row for each place: the marks and sizes of its documents, its shingles, and whose they are."""
+    order = np.argsort(place, kind="stable")
+    place, h, doc = place[order], h[order], doc[order]
+    for a, z in zip(*runs(place), strict=True):
+        if len(mark) <= z - a:
+            flag = np.zeros(len(mark), bool)
+            flag[doc[a:z]] = True
+            there, number = np.flatnonzero(flag), (np.cumsum(flag) - 1)[doc[a:z]]
+        else:
+            there, number = np.unique(doc[a:z], return_inverse=True)
+        for lo in range(0, len(there), 1 << 16):  # numbers have 16 bits
+            mine = (number >= lo) & (number < lo + (1 << 16)) if len(there) > 1 << 16 else slice(None)
+            own = there[lo : lo + (1 << 16)]
+            yield {"grp": int(place[a]), "hot": is_hot, "marks": mark[own].tobytes(), "sizes": size[own].astype("<u4").tobytes(), "shingles": _six(h[a:z][mine]), "docs": (number[mine] - lo).astype("<u2").tobytes()}
 
-def _send(docs: DataFrame, n: int, groups: int, hot: np.ndarray) -> DataFrame:
-    """Shingles of each class of a run of documents, packed by group; hot ones by group of their class."""
+
+def _send(docs: DataFrame, n: int, groups: int, step: int, hot: np.ndarray, clashing: np.ndarray) -> DataFrame:
+    """Shingles of each class of a run of documents, packed by range of `step` groups; hot ones by group of their class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles: list[np.ndarray] = []
@@ -196,15 +244,6 @@ def _send(docs: DataFrame, n: int, groups: int, hot: np.ndarray) -> DataFrame:
         sizes: list[np.ndarray] = []
         held = n_docs = 0
 
-        def rows(place: np.ndarray, h: np.ndarray, doc: np.ndarray, mark: np.ndarray, size: np.ndarray, is_hot: bool) -> Iterator[dict]:
-            order = np.argsort(place, kind="stable")
-            place, h, doc = place[order], h[order], doc[order]
-            for a, z in zip(*runs(place), strict=True):
-                there = np.zeros(len(mark), bool)
-                there[doc[a:z]] = True
-                number = (np.cumsum(there) - 1).astype("<u2")
-                yield {"grp": int(place[a]), "hot": is_hot, "marks": mark[there].tobytes(), "sizes": size[there].astype("<u4").tobytes(), "shingles": _six(h[a:z]), "docs": number[doc[a:z]].tobytes()}
-
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, n_docs
             if held:
@@ -216,21 +255,18 @@ def _send(docs: DataFrame, n: int, groups: int, hot: np.ndarray) -> DataFrame:
                 mine = once[doc]
                 h, doc = h[mine], doc[mine]
                 warm = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
-                for r in rows(_group(h[~warm], groups), h[~warm], doc[~warm], mark, size, False):
-                    yield pa.RecordBatch.from_pylist([r], schema=schema)
-                for r in rows(mark[doc[warm]] % _U(groups), h[warm], doc[warm], mark, size, True):
-                    yield pa.RecordBatch.from_pylist([r], schema=schema)
+                yield from _batched(_rows(_group(h[~warm], groups) // _U(step), h[~warm], doc[~warm], mark, size, False), _SENT_SCHEMA)
+                yield from _batched(_rows(mark[doc[warm]] % _U(groups) // _U(step), h[warm], doc[warm], mark, size, True), _SENT_SCHEMA)
             for x in (shingles, owners, marks, sizes):
                 x.clear()
             held = n_docs = 0
             release()
 
-        schema = pa.schema([("grp", pa.int64()), ("hot", pa.bool_()), *((c, pa.binary()) for c in ("marks", "sizes", "shingles", "docs"))])
         for batch in batches:
             for _, b in chunks(batch, "__text"):
                 if n_docs + b.n > FLUSH_DOCS:
                     yield from flush()
-                sets = Sets.of(b, n)
+                sets = Sets.of(b, n, clashing)
                 shingles.append(sets.keys & ~_LOW)
                 owners.append((sets.keys & _LOW).astype(np.int64) + n_docs)
                 marks.append(sets.mark)
@@ -244,31 +280,95 @@ def _send(docs: DataFrame, n: int, groups: int, hot: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, _SENT)
 
 
+def _dealt(sent: DataFrame, ranges: int) -> DataFrame:
+    """Packed rows with those of one range next to each other; tasks have equally many ranges."""
+    tasks = min(ranges, MOST_TASKS)
+    return sent.repartitionById(tasks, F.expr(f"cast(grp % {tasks} as int)")).sortWithinPartitions("grp")
+
+
+def _finer(sent: DataFrame, groups: int, coarse: int, step: int) -> DataFrame:
+    """Packed rows by range of `coarse` groups, dealt to ranges of `step` groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if held:
+                table = pa.Table.from_batches(held)
+                for is_hot in (False, True):
+                    part = table.filter(table.column("hot") if is_hot else pc.invert(table.column("hot")))
+                    if part.num_rows:
+                        h, doc, mark, sizes = _opened(part)
+                        place = mark[doc] % _U(groups) if is_hot else _group(h, groups)
+                        yield from _batched(_rows(place // _U(step), h, doc, mark, sizes, is_hot), _SENT_SCHEMA)
+            held.clear()
+            size = 0
+            release()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grp = batch.column("grp")[i].as_py()
+                if grp != last or size > FLUSH_SHINGLES:
+                    yield from flush()
+                held.append(batch.slice(i, 1))
+                size += len(batch.column("docs")[i].as_buffer()) // 2
+                last = grp
+        yield from flush()
+
+    return _dealt(sent, -(-groups // coarse)).mapInArrow(run, _SENT)
+
+
+def _by_group(sent: DataFrame, groups: int, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Runs work over the packed rows of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            grp = batch.column("grp").to_numpy()
+            for a, z in zip(*runs(grp), strict=True):
+                if held and grp[a] != last:
+                    yield from work(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(a, z - a))
+                last = grp[a]
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    return _dealt(sent, groups).mapInArrow(run, schema)
+
+
 def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Binary values as one array, and how many items each has."""
     parts = [np.frombuffer(x.as_buffer(), kind) for c in column.chunks for x in c]
     return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.array([len(p) for p in parts], np.int64)
 
 
+def _opened(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of packed rows and the place of each one's class; marks and sizes of the different classes."""
+    marks, n_marks = _joined(part.column("marks"), "<u8")
+    sizes, _ = _joined(part.column("sizes"), "<u4")
+    raw, _ = _joined(part.column("shingles"), np.uint8)
+    h = _unsix(raw)
+    del raw
+    docs, n_docs = _joined(part.column("docs"), "<u2")
+    mark, first, which = np.unique(marks, return_index=True, return_inverse=True)
+    base = np.repeat(np.concatenate([[0], np.cumsum(n_marks)[:-1]]), n_docs)
+    base += docs
+    return h, which[base], mark, sizes[first]
+
+
 def _count(groups: int):
     def run(table: pa.Table) -> pa.Table:
         out = []
         for is_hot in (False, True):
-            part = table.filter(table.column("hot") if is_hot else pa.compute.invert(table.column("hot")))
+            part = table.filter(table.column("hot") if is_hot else pc.invert(table.column("hot")))
             if not part.num_rows:
                 continue
-            marks, n_marks = _joined(part.column("marks"), "<u8")
-            sizes, _ = _joined(part.column("sizes"), "<u4")
-            raw, n_bytes = _joined(part.column("shingles"), np.uint8)
-            h = _unsix(raw)
-            docs, n_docs = _joined(part.column("docs"), "<u2")
-            del raw
-            base = np.repeat(np.concatenate([[0], np.cumsum(n_marks)[:-1]]), n_docs)
-            mark, first, which = np.unique(marks, return_index=True, return_inverse=True)
-            size = sizes[first]
-            base += docs
-            doc = which.astype(np.uint32)[base]
-            del docs, base, marks, which
+            h, doc, mark, size = _opened(part)
+            doc = doc.astype(np.uint32)
             # hash, then class, in one sortable number: the group's hashes span a part of the range
             low = h.min()
             bits = max(int(len(mark) - 1).bit_length(), 1)
@@ -424,56 +524,93 @@ def _tossed(shingle: np.ndarray, mark: np.ndarray, root: np.ndarray, seed: int)
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _apart(alive: DataFrame, first: int | None) -> DataFrame:
-    """Postings of the shingles that different components have, with the cells of their classes."""
+def _apart(alive: DataFrame, first: int | None, chain: int) -> DataFrame:
+    """Postings of the shingles that different components have, with the cells of their classes, by meeting (`meet`).
+
+    A shingle with at most TOGETHER postings is one meeting.  Others are split into blocks by
+    band of size and salt.  In chains, each block is a meeting, anew in each round.  For all pairs
+    of different components, blocks of the shingle's largest component and blocks of its other
+    postings meet, and the latter each other, if their sizes can be similar; `side` tells
+    the two of a meeting apart.
+    """
     light = _postings(alive.drop("common", "cells"), first)
-    mixed = light.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    return light.join(mixed, "shingle").join(alive.select("mark", "cells"), "mark")
+    by_root = light.groupBy("shingle", "root").count()
+    mixed = by_root.groupBy("shingle").agg(F.count("*").alias("roots"), F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("most")).where("roots > 1")
+    blocks = lambda n: F.ceil(n / TOGETHER)
+    mixed = mixed.select("shingle", F.col("most.root").alias("main"), (F.col("n") > TOGETHER).alias("split"), blocks(F.col("n")).alias("all"), blocks(F.col("most.count")).alias("mains"), blocks(F.col("n") - F.col("most.count")).alias("rests"))
+    band = F.floor(F.log("size") / math.log(BAND)).cast("long")
+    block = lambda salts: band * F.col(salts) + F.pmod(F.xxhash64("mark", "shingle", F.lit(chain)), F.col(salts))
+    near = lambda salts: F.sequence((band - 1) * F.col(salts), (band + 2) * F.col(salts) - 1)
+    meeting = lambda kind, x, y, side: F.struct(F.xxhash64("shingle", F.lit(kind), x, y).alias("meet"), side.cast("long").alias("side"))
+    zero = F.lit(0).cast("long")
+    whole = F.array(meeting(0, zero, zero, zero))
+    if chain:
+        places = F.when(F.col("split"), F.array(meeting(1, block("all"), zero, zero))).otherwise(whole)
+    else:
+        # few others are one block of all sizes
+        one = F.col("rests") == 1
+        rest, rests = F.when(one, zero).otherwise(block("rests")), F.when(one, F.array(zero)).otherwise(near("rests"))
+        order = lambda x: F.when(rest == x, 0).when(rest < x, 1).otherwise(2)
+        of_main = F.transform(rests, lambda x: meeting(2, block("mains"), x, F.lit(1)))
+        of_rest = F.concat(F.transform(near("mains"), lambda x: meeting(2, x, rest, F.lit(2))), F.transform(rests, lambda x: meeting(3, F.least(rest, x), F.greatest(rest, x), order(x))))
+        places = F.when(~F.col("split"), whole).when(F.col("root") == F.col("main"), of_main).otherwise(of_rest)
+    placed = light.join(mixed, "shingle").select(F.explode(places).alias("p"), "mark", "size", "at", "root").select("p.meet", "p.side", "mark", "size", "at", "root")
+    return placed.join(alive.select("mark", "cells"), "mark")
+
+
+def _partners(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of postings of different components that may be similar, of each meeting: i, j."""
+    meet, side, size, root = (table.column(c).to_numpy() for c in ("meet", "side", "size", "root"))
+    order = np.lexsort((size, meet))
+    for lo, hi in zip(*runs(meet[order]), strict=True):
+        own = order[lo:hi]
+        if hi - lo < 2 or (root[own] == root[own[0]]).all():
+            continue
+        ones, twos = own[side[own] < 2], own[side[own] != 1]
+        # by size: partners are those that are neither too short nor too long; within a block, those after it
+        near, far = np.searchsorted(size[twos], -(-size[ones] * percent // 100)), np.searchsorted(size[twos], size[ones] * 100 // percent, side="right")
+        if side[own[0]] == 0:
+            near = np.maximum(near, np.arange(len(ones)) + 1)
+        count = np.maximum(far - near, 0)
+        cuts = np.searchsorted(np.cumsum(count), np.arange(PAIRS, int(count.sum()) + PAIRS, PAIRS)) + 1 if len(count) else []
+        a = 0
+        for z in cuts:
+            n = count[a:z]
+            i = np.repeat(ones[a:z], n)
+            j = twos[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(near[a:z], n)]
+            apart = root[i] != root[j]
+            if apart.any():
+                yield i[apart], j[apart]
+            a = z
 
 
 def _candidates(postings: DataFrame, chain: int, percent: int) -> DataFrame:
     """Pairs (a < b) of classes of different components that have a prefix shingle in common and pass the filters.
 
-    chain 1: a shingle's documents in order of size, each paired with the next;
-    2 and more, the number of the round: documents outside of the shingle's
+    chain 1: a meeting's documents in order of size, each paired with the next;
+    2 and more, the number of the round: documents outside of the meeting's
     largest component paired with TOSSES others, chosen anew in each round;
-    0: every pair of different components.  Postings arrive sorted by shingle;
-    one shingle's are looked at together, each in about 600 bytes.
+    0: every pair of different components.  Postings arrive sorted by meeting;
+    one meeting's are looked at together, each in about 600 bytes.
     """
 
     def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        shingle, mark, size, at, root = (table.column(c).to_numpy() for c in ("shingle", "mark", "size", "at", "root"))
+        meet, mark, size, at, root = (table.column(c).to_numpy() for c in ("meet", "mark", "size", "at", "root"))
         cells = np.frombuffer(b"".join(x.as_py() for x in table.column("cells")), "<u2").reshape(-1, CELLS)
-        if chain:
-            i, j = _chained(shingle, mark, size, root) if chain == 1 else _tossed(shingle, mark, root, chain)
+        found = iter([_chained(meet, mark, size, root) if chain == 1 else _tossed(meet, mark, root, chain)]) if chain else _partners(table, percent)
+        for i, j in found:
             ok = _allowed(i, j, size, at, cells, percent)
             yield mark[i[ok]], mark[j[ok]]
-            return
-        order = np.lexsort((size, shingle))
-        for lo, hi in zip(*runs(shingle[order]), strict=True):
-            own = order[lo:hi]
-            if hi - lo < 2 or (root[own] == root[own[0]]).all():
-                continue
-            # by size: partners of a document are those after it that aren't too long
-            reach = np.searchsorted(size[own], size[own] * 100 // percent, side="right")
-            for k in range(hi - lo - 1):
-                after = own[k + 1 : reach[k]]
-                after = after[root[after] != root[own[k]]]
-                if len(after):
-                    i = np.full(len(after), own[k])
-                    ok = _allowed(i, after, size, at, cells, percent)
-                    yield mark[i[ok]], mark[after[ok]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
 
         def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal seen
             held, size = [], 0
             for x, y in pairs(table):
                 held.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
                 size += len(x)
-                if size > 200_000:
+                if size > PAIRS:
                     yield from emit(np.concatenate(held))
                     held, size = [], 0
             if size:
@@ -493,24 +630,29 @@ def _candidates(postings: DataFrame, chain: int, percent: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            if size < 20_000:
-                continue
-            table = pa.Table.from_batches(held)
-            # the last shingle may go on in the next batch
-            shingle = table.column("shingle").to_numpy()
-            cut = int(np.searchsorted(shingle, shingle[-1]))
-            if cut:
-                yield from out(table.slice(0, cut))
-                table = table.slice(cut)
-            held, size = table.to_batches(), table.num_rows
+            # rows are looked at once there are enough, up to the last meeting's beginning; a meeting has few
+            meet = batch.column("meet").to_numpy()
+            a = 0
+            while a < len(meet):
+                z = len(meet)
+                if size < 20_000:
+                    z = min(z, a + 20_000)
+                    held.append(batch.slice(a, z - a))
+                    size, a = size + z - a, z
+                    continue
+                last = held[-1].column("meet")[-1].as_py()
+                z = a + int(np.searchsorted(meet[a:] != last, True))
+                if z > a:
+                    held.append(batch.slice(a, z - a))
+                    size += z - a
+                if z < len(meet):
+                    yield from out(pa.Table.from_batches(held))
+                    held, size = [], 0
+                a = z
         if size:
             yield from out(pa.Table.from_batches(held))
 
-    return gathered(postings.select("shingle", "mark", "size", "at", "root", "cells"), ["shingle"]).mapInArrow(run, "a long, b long").distinct()
+    return gathered(postings.select("meet", "side", "mark", "size", "at", "root", "cells"), ["meet"]).mapInArrow(run, "a long, b long").distinct()
 
 
 # ---- step 4: verification ------------------------------------------------------------
@@ -548,7 +690,7 @@ def link_classes(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
     chain, first = 1, 2
     while True:
         placed = alive.withColumn("root", F.col("mark")) if roots is None else alive.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-        pairs = _candidates(_apart(placed, first), chain, percent)
+        pairs = _candidates(_apart(placed, first, chain), chain, percent)
         if looked is not None:
             pairs = pairs.join(looked, ["a", "b"], "left_anti")
         more = settle(_verified(pairs, alive, percent), "verified")
@@ -574,15 +716,28 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", n: i
     """
     docs = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     found = settle(_classes(docs, n), "classes")
-    rows = found.where("kind = 0").select("key", "size", "mark")
+    rows = found.where("kind = 0").select("key", "size", "mark", "other")
+    clashes = rows.groupBy("mark").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low < high").select("mark")
+    # different sets with one fingerprint of 64 bits: a handful among 10**10
+    clashing = np.array([r["mark"] for r in clashes.limit(MOST_CLASHES + 1).collect()], np.int64)
+    if len(clashing) > MOST_CLASHES:
+        raise RuntimeError(f"more than {MOST_CLASHES} fingerprints clash")
+    if len(clashing):
+        rows = rows.withColumn("mark", F.when(F.col("mark").isin(clashing.tolist()), F.col("other")).otherwise(F.col("mark")))
+    rows = rows.drop("other")
     total = rows.agg(F.sum("size").alias("shingles"), F.count("*").alias("docs")).first()
-    groups = max(16, math.ceil((total["shingles"] or 0) / GROUP_SHINGLES))
+    groups = max(1, math.ceil((total["shingles"] or 0) / GROUP_SHINGLES))
     least = max(HOT_DOCS, total["docs"] // HOT_TOTAL)
     hot = found.where("kind = 1").groupBy("mark").agg(F.sum("size").alias("docs")).where(F.col("docs") >= least).select("mark").collect()
     hot = np.sort(np.array([r["mark"] for r in hot], np.int64).view(np.uint64))
-    sent = _send(docs, n, groups, hot)
-    counted = sent.groupBy("grp").applyInArrow(_count(groups), _COUNTED)
-    alive = settle(counted.groupBy("grp").applyInArrow(_alive(percent), _ALIVE), "alive")
+    step = 1
+    while groups > FAN * step:
+        step *= FAN
+    sent = _send(docs, n, groups, step, hot, clashing.view(np.uint64))
+    while step > 1:
+        sent, step = _finer(sent, groups, step, step // FAN), step // FAN
+    counted = _by_group(sent, groups, _count(groups), _COUNTED)
+    alive = settle(_by_group(counted, groups, _alive(percent), _ALIVE), "alive")
     roots = link_classes(alive, percent)
     drop(alive)
     placed = rows.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))

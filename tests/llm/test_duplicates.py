@@ -85,6 +85,26 @@ def test_hot_shingles_change_nothing(spark, corpus, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == near_duplicates(corpus)
 
 
+def test_dealing_in_steps_and_split_shingles_change_nothing(spark, corpus, monkeypatch):
+    # three steps of dealing, and blocks much smaller than a shingle's postings
+    for name, value in (("GROUP_SHINGLES", 300), ("FAN", 3), ("TOGETHER", 3), ("PAIRS", 4), ("CHAINS", 0)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == near_duplicates(corpus)
+
+
+def test_clashing_fingerprints_are_told_apart(spark, corpus, monkeypatch):
+    def of(b, n=5, clashing=None):
+        s = whole(b, n)
+        mark = s.mark % np.uint64(40)  # many different sets share one
+        return jaccard_join.Sets(s.keys, s.size, np.where(np.isin(mark, clashing), s.other, mark) if clashing is not None else mark, s.other)
+
+    whole = jaccard_join.Sets.of
+    monkeypatch.setattr(jaccard_join.Sets, "of", of)
+    df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == near_duplicates(corpus)
+
+
 def test_jaccard_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.near_duplicates(empty).count() == 0
@@ -189,33 +209,111 @@ def test_failed_audit_leads_to_all_comparisons(spark, monkeypatch):
     assert_brute_force(spark, tight_groups())
 
 
+def by_rows(rows):
+    """Each row on its own, whatever its key: sorted (key, n_links, component_id, kept)."""
+    good = [(i, np.array(v, float), m) for i, (_, v, m) in enumerate(rows) if v and m is not None and any(v)]
+    links, u = defaultdict(int), Union()
+    for n, (i, x, m) in enumerate(good):
+        for j, y, o in good[:n]:
+            if m == o and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
+                links[i] += 1
+                links[j] += 1
+                u.join(i, j)
+    lowest = {}
+    for i, (k, *_) in enumerate(rows):
+        if k is not None:
+            lowest[u.find(i)] = min(lowest.get(u.find(i), k), k)
+    found = [(k, links[i], lowest.get(u.find(i))) for i, (k, *_) in enumerate(rows)]
+    return sorted(((*f, f[0] == f[2]) for f in found), key=repr)
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 0.001], 1), (3, [1.0, 0.001], 1), (None, [1.0, 0.0], 1), (None, [-1.0, 0.0], 1), (None, [-1.0, 0.0], 1), (4, None, 1), (4, [1.0, 0.0], None), (None, None, None), (5, [0.0, -0.0, 1.0], 1), (6, [0.0, 0.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").selectExpr("*", "vec_id as node", "label as n_links", "1 as row")
+    got = sorted((tuple(r) for r in vector_dedup.near_duplicate_vectors(df).collect()), key=repr)
+    assert got == by_rows(rows)
+    assert (1, 3, 1, True) in got and (1, 1, 1, True) in got and (2, 1, 1, False) in got
+
+
+def test_audit_counts_nodes_not_links(spark):
+    # one large group, all of whose links were found, and a hundred pairs that all were lost
+    rng = np.random.default_rng(8)
+    basis = rng.normal(size=(101, 64))
+    rows = [(i, 1, 1, (basis[100] + 1e-3 * rng.normal(size=64)).tobytes()) for i in range(300)]
+    rows += [(1000 + 2 * i + k, 1, 1, (basis[i] + 1e-3 * k).tobytes()) for i in range(100) for k in (0, 1)]
+    nodes = spark.createDataFrame([(n, g, c, bytearray(v)) for n, g, c, v in rows], "node long, grp long, copies long, v binary")
+    counted = spark.createDataFrame([(i, 0, 299) for i in range(300)], "node long, root long, links long")
+    assert vector_dedup.audit(nodes, counted) < 0.75
+    every = counted.unionAll(spark.createDataFrame([(1000 + i, 1000 + i // 2 * 2, 1) for i in range(200)], "node long, root long, links long"))
+    assert vector_dedup.audit(nodes, every) == 1.0
+
+
+def test_recall_is_reported(spark):
+    report = []
+    df = spark.createDataFrame([(k, v, m) for k, v, m in vectors(2)], "vec_id long, embedding array<float>, label int")
+    vector_dedup.near_duplicate_vectors(df, report=report).count()
+    assert report and report[-1] >= vector_dedup.RECALL
+    assert vector_dedup.tables_for(0) == 1 and vector_dedup.tables_for(22) > vector_dedup.tables_for(4) > 1
+
+
 def without_later_copies(rows, least):
+    """Every run of lines with enough words, of any length, that was there before: its lines go, but not those of the first one."""
     seq, docs = [], []
     for k, t in sorted(rows, key=lambda r: r[0]):
         lines = [(x, len(WORD.findall(x))) for x in (t or "").split("\n")]
         full = [x for x in lines if x[1]]
         docs.append((k, t, lines, len(seq), len(full)))
-        seq += [*full, (object(), 0)]
-    gone = [False] * len(seq)
+        seq += [*full, None]
+    gone, first = [False] * len(seq), {}
     for i in range(len(seq)):
-        for j in range(i):
-            n = words = 0
-            while i + n < len(seq) and seq[i + n][0] == seq[j + n][0]:
-                words += seq[i + n][1]
-                n += 1
+        words, n = 0, 0
+        while seq[i + n] if i + n < len(seq) else None:
+            words += seq[i + n][1]
+            n += 1
             if words >= least:
-                gone[i : i + n] = [True] * n
+                begin = first.setdefault(tuple(seq[i : i + n]), i)
+                for x in range(max(i, begin + n) if begin < i else i + n, i + n):
+                    gone[x] = True
     out = {}
-    for k, t, lines, first, n in docs:
+    for k, t, lines, start, n in docs:
         kept, at = [], 0
         for x, words in lines:
             at += words > 0
-            if not (at and gone[first + at - 1]):
+            if not (at and gone[start + at - 1]):
                 kept.append(x)
-        out[k] = (None if t is None else "\n".join(kept), sum(gone[first : first + n]))
+        out[k] = (None if t is None else "\n".join(kept), sum(gone[start : start + n]))
     return out
 
 
+def test_first_copies_stay(spark):
+    line = " ".join(f"w{i}" for i in range(25))
+    other = line.replace("w", "v")
+    rows = [(1, "\n".join([line] * 6)), (2, "\n".join([other, line] * 3)), (3, "\n".join([line] * 2)), (4, "\n".join([other, line, "end"]))]
+    got = {r.doc_id: (r.text, r.words_left) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # the first 50 words stay, and each document's own first copies
+    assert got == {1: (f"{line}\n{line}", 50), 2: (f"{other}\n{line}", 50), 3: ("", 0), 4: ("end", 1)}
+    assert {k: t for k, (t, _) in got.items()} == {k: t for k, (t, _) in without_later_copies(rows, 50).items()}
+
+
+def test_ranks_are_places_in_the_suffix_array(spark):
+    rng = random.Random(11)
+    rows = [(d, d + 1, d, a, w, w + 1000, 1) for d in range(25) for a, w in enumerate(rng.choices([7, 8, 9], [20, 2, 1], k=rng.randint(3, 30)))]
+    lines = spark.createDataFrame(rows, "doc long, doc2 long, key long, at long, line long, line2 long, words long").repartition(5)
+    ranks = line_dedup._first_ranks(lines)
+    segments = line_dedup._segments(lines, ranks, 1).persist()
+    texts = {d: [r[4] for r in rows if r[0] == d] for d in range(25)}
+    suffixes = [(tuple(texts[d][a:]), d, a) for d in texts for a in range(len(texts[d]))]
+    place = {(r["segment"], r["at"]): (r["doc"], r["at"]) for r in segments.collect()}
+    assert len({s for s, _ in place}) == 25
+    level, depth = segments, 1
+    while depth < 32:
+        have = {place[r["segment"], r["at"]]: r["rank"] for r in level.collect()}
+        heads = sorted(s[:depth] for s, _, _ in suffixes)
+        assert have == {(d, a): heads.index(s[:depth]) for s, d, a in suffixes}
+        level = line_dedup._deeper(level.select("segment", "at", "rank"), depth)
+        depth *= 2
+
+
 def test_lines_are_brute_force(spark):
     rng = random.Random(2)
     lines = [" ".join(f"l{i}x{j}" for j in range(rng.choice([1, 3, 7, 20]))) for i in range(12)] + ["", " "]
