@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import jaccard_join, line_dedup, mixing, packing, quality_classifier
+from fabula.llm import jaccard_join, line_dedup, mixing, packing, quality_classifier, scratch
 from fabula.llm.queries import tokenizer_path
 from fabula.llm.scratch import settle
 
 #: Documents whose quality score is lower are rejected.
 LEAST_QUALITY = 0.3
+#: Rows to drop whose numbers are sent to every task; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +37,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near duplicates: that with the smallest id, null last, then by a hash of its text."""
+    """Keeps one row of each group of near duplicates: that with the smallest id, null last, then by a hash of its text.
+
+    Texts stay where they are: rows are numbered, and the numbers of those that go are what joins.
+    """
     # settled, for the numbers must be the same wherever they are read
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    rows = settle(ordered.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = jaccard_join.near_duplicates(rows, key="__row")
-    first = found.where(F.col("__row") == F.col("component_id")).select("__row")
-    return rows.join(first, "__row", "left_semi").select(*docs.columns)
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_join.near_duplicates(rows.select("__row", "text"), key="__row")
+    order = rows.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row").alias("place"))
+    placed = found.join(order, "__row").select("__row", "component_id", "place")
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = settle(placed.join(first, "component_id").where(F.col("place") > F.col("first")).select("__row"), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +82,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents; every stage but the last is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over documents; every stage but the last is written to the shared folder.
+
+    What a stage read and made on its way is removed once its rows are written.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
+        before = scratch.tables()
         docs = settle(stage(spark, docs, sf_dir), name)
+        scratch.clear(before, keep=docs)
+        scratch.drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
