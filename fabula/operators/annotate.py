@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,29 +117,32 @@ def annotate_chapters(checked: DataFrame, provider: Provider) -> DataFrame:
     annotated before it can be kept.
     """
 
-    def chapter(passages: pd.DataFrame) -> pd.DataFrame:
+    def chapter(passages: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
         roster: list[str] = []
         preceding: str | None = None
         stale = False
         out = []
-        for p in passages.sort_values("passage_idx").itertuples():
-            stale = stale or not p.valid
+        for p in sorted(passages.to_pylist(), key=lambda p: p["passage_idx"]):
+            stale = stale or not p["valid"]
+            lines, error = p["lines"], None
             if not stale:
-                lines = [x if isinstance(x, dict) else x.asDict() for x in p.lines]
-                roster = list(p.roster) if p.roster is not None else roster
+                roster = p["roster"] if p["roster"] is not None else roster
             else:
                 try:
-                    lines = annotate_one(provider, p.text, roster, preceding) if p.has_dialogue else [dict(zip(FIELDS, ("Narrator", True, "male", False, p.text, None), strict=True))]
+                    lines = annotate_one(provider, p["text"], roster, preceding) if p["has_dialogue"] else [dict(zip(FIELDS, ("Narrator", True, "male", False, p["text"], None), strict=True))]
+                    roster = list(dict.fromkeys([*roster, *(x["speaker"] for x in lines)]))
                 except AnnotationError as e:
-                    out.append((p.book_id, p.chapter_number, p.passage_idx, p.text_hash, None, None, str(e)))
-                    break
-                roster = list(dict.fromkeys([*roster, *(x["speaker"] for x in lines)]))
+                    lines, error = None, str(e)
+            out.append({k: p[k] for k in ("book_id", "chapter_number", "passage_idx", "text_hash")} | {"lines": lines, "roster": None if error else roster, "error": error})
+            if error:
+                break
             preceding = lines[-1]["text"]
-            out.append((p.book_id, p.chapter_number, p.passage_idx, p.text_hash, lines, list(roster), None))
-        return pd.DataFrame(out, columns=[f.name for f in _ANNOTATED])
+        return pa.Table.from_pylist(out, schema=to_arrow_schema(_ANNOTATED))
 
     ready = checked.select(F.col("book_id").cast("string"), F.col("chapter_number").cast("int"), F.col("passage_idx").cast("int"), "text", "has_dialogue", "text_hash", "valid", "lines", "roster")
-    return ready.groupBy(*CHAPTER).applyInPandas(chapter, _ANNOTATED)
+    return ready.groupBy(*CHAPTER).applyInArrow(chapter, _ANNOTATED)
 
 
 def tones(samples: DataFrame, cache: DataFrame, provider: Provider) -> DataFrame:
