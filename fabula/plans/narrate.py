@@ -123,6 +123,13 @@ def run(spark: SparkSession, s: Settings) -> DataFrame | None:
     # one form of paths, for files are told by them
     s = replace(s, work=config.canonical(spark, s.work), output=config.canonical(spark, s.output))
     folder = f"{s.work}/runs/{uuid.uuid4().hex}"
+    try:
+        return _run(spark, s, folder)
+    finally:
+        config.remove(spark, folder)
+
+
+def _run(spark: SparkSession, s: Settings, folder: str) -> DataFrame | None:
     books = prepare(spark, s, folder)
     # one row for each book
     for r in resume.run_summary(books.every, books.finished).orderBy("book_id").toLocalIterator():
@@ -138,6 +145,6 @@ def run(spark: SparkSession, s: Settings) -> DataFrame | None:
     named = books.chapters.withColumn("filename", X.chapter_filename("chapter_number", "title")).select(*CHAPTER, "filename")
     written = assemble.assemble_chapters(named.join(chunks.select(*CHAPTER, "chunk_idx", "audio_path"), list(CHAPTER), "left"), s.output)
     # written once, and read as often as the caller likes
-    report = _settled(written, f"{folder}/report")
+    report = _settled(written, f"{s.work}/reports/{uuid.uuid4().hex}")
     s.say(f"chapters written: {report.count()}")
     return report

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ANNOTATION_CACHE, TONE_CACHE
-from .config import exists
+from .config import exists, remove
 
 SCHEMAS = {"annotations": ANNOTATION_CACHE, "tones": TONE_CACHE}
 CHAPTER = ["book_id", "chapter_number"]
@@ -25,16 +25,12 @@ CHAPTER = ["book_id", "chapter_number"]
 MOST_VERSIONS = 50
 
 
-def _folder(spark: SparkSession, folder: str):  # noqa: ANN202 - a JVM pair
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def versions(spark: SparkSession, folder: str) -> list[str]:
     if not exists(spark, folder):
         return []
-    place, store = _folder(spark, folder)
-    names = [f.getPath().getName() for f in store.listStatus(place)]
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    names = [f.getPath().getName() for f in found]
     return sorted(n for n in names if n.startswith("v") and exists(spark, f"{folder}/{n}/_SUCCESS"))
 
 
@@ -64,6 +60,5 @@ def commit(df: DataFrame, root: str, table: str) -> DataFrame:
     if len(old) > MOST_VERSIONS:
         _write(read(spark, root, table), root, table)
         for name in old:
-            place, store = _folder(spark, f"{root}/{table}/{name}")
-            store.delete(place, True)
+            remove(spark, f"{root}/{table}/{name}")
     return read(spark, root, table)

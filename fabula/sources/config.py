@@ -20,6 +20,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder with all that is in it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def canonical(spark: SparkSession, path: str) -> str:
     """One form for each place: an absolute path on the machine's (or a mounted) file system, else a whole URI."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
