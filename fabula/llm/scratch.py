@@ -41,7 +41,9 @@ def settle(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     path = f"{folder(spark)}/fabula-{name}-{uuid.uuid4().hex}"
     _settled[path] = spark
     df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -50,14 +52,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def drop(df: DataFrame | None) -> None:
-    """Remove a settled table that nothing reads any more."""
+    """Remove a settled table (or that which df selects from) that nothing reads any more."""
+    name = _name(df)
+    for path in [p for p in _settled if p.rpartition("/")[2] == name]:
+        _delete(_settled.pop(path), path)
+
+
+def _name(df: DataFrame | None) -> str | None:
+    """The folder of the settled table that df is, or reads."""
     if df is None:
-        return
-    for file in df.inputFiles()[:1]:
-        path = file.rpartition("/")[0]
-        _delete(df.sparkSession, path)
-        for known in [k for k in _settled if k.rpartition("/")[2] == path.rpartition("/")[2]]:
-            del _settled[known]
+        return None
+    path = getattr(df, "_settled", None) or next((f.rpartition("/")[0] for f in df.inputFiles()[:1]), "")
+    return path.rpartition("/")[2] or None
 
 
 def tables() -> frozenset[str]:
@@ -67,8 +73,8 @@ def tables() -> frozenset[str]:
 
 def clear(before: frozenset[str] = frozenset(), keep: DataFrame | None = None) -> None:
     """Remove all tables settled since `before` but that of `keep`; results that read them must have been written."""
-    kept = {file.rpartition("/")[0].rpartition("/")[2] for file in keep.inputFiles()[:1]} if keep is not None else set()
-    for path in [p for p in _settled if p not in before and p.rpartition("/")[2] not in kept]:
+    kept = _name(keep)
+    for path in [p for p in _settled if p not in before and p.rpartition("/")[2] != kept]:
         _delete(_settled.pop(path), path)
 
 
