@@ -52,12 +52,14 @@ GIANT_WINDOWS = 16
 #: Min-hashes that order documents; 16 bits each.
 SIGNS = 4
 #: Text whose words are looked up together.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 #: Documents whose ids are counted together.
 AT_ONCE = 128
 #: Row groups of the table of ids; writers hold one.
 IDS_BYTES = 8 << 20
 K1, B = 1.2, 0.75
+#: An id that one in so many of a shard's documents has is one of many.
+MANY = 8
 
 
 @dataclass(frozen=True)
@@ -85,22 +87,37 @@ class Bm25:
         self.idf = np.log1p((every - in_docs + 0.5) / (in_docs + 0.5))
         norm = K1 * (1 - B + B * sizes / max(mean, 1.0))
         self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[docs])
-        # terms of each document
-        order = np.argsort(docs, kind="stable")
-        self.own = np.repeat(np.arange(len(self.terms)), df)[order]
-        self.own_bounds = np.searchsorted(docs[order], np.arange(n + 1))
+        # ids that many documents have are rows of a table, the others lists; one that a single document has finds none
+        place = np.full(len(self.terms), -1)
+        many = df * MANY >= max(n, 1)
+        place[many] = np.arange(many.sum())
+        self.table = np.zeros((int(many.sum()), n))
+        row = np.repeat(place, df)
+        self.table[row[row >= 0], docs[row >= 0]] = self.weight[row >= 0]
+        # terms of each document, by kind
+        term = np.repeat(np.arange(len(self.terms)), df)
+        self.rows, self.row_bounds = _by_document(row[row >= 0], docs[row >= 0], n)
+        listed = (row < 0) & np.repeat(df > 1, df)
+        self.own, self.own_bounds = _by_document(term[listed], docs[listed], n)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share an id with the seed, the best first, ties by place."""
+        score = self.table[self.rows[self.row_bounds[seed] : self.row_bounds[seed + 1]]].sum(0)
         query = self.own[self.own_bounds[seed] : self.own_bounds[seed + 1]]
-        if not len(query):
-            return query
-        spans = [slice(self.first[t], self.first[t + 1]) for t in query]
-        score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        if len(query):
+            heads, sizes = self.first[query], self.first[query + 1] - self.first[query]
+            at = np.arange(sizes.sum()) + np.repeat(heads - np.cumsum(sizes) + sizes, sizes)
+            score += np.bincount(self.docs[at], self.weight[at], self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
 
+def _by_document(values: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values in order of their document, and n + 1 bounds."""
+    order = np.argsort(docs, kind="stable")
+    return values[order], np.searchsorted(docs[order], np.arange(n + 1))
+
+
 @dataclass(frozen=True)
 class Piece:
     doc: int
@@ -213,13 +230,10 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "do
     return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def _pairs(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of a few documents, and (document, id) of each different id of each."""
+def _few(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of a few documents, and their ids in a row."""
     raw = [x.as_buffer() for x in column]
-    sizes = np.array([r.size // np.dtype(kind).itemsize for r in raw], np.int64)
-    ids = np.frombuffer(b"".join(raw), kind).astype(np.int64)
-    pairs = np.unique(np.repeat(np.arange(len(raw)), sizes) << 32 | ids)
-    return sizes, pairs >> 32, pairs & 0xFFFFFFFF
+    return np.array([r.size // np.dtype(kind).itemsize for r in raw], np.int64), np.frombuffer(b"".join(raw), kind)
 
 
 def corpus_of(tokens: DataFrame, kind: str = "<u4") -> Corpus:
@@ -229,8 +243,12 @@ def corpus_of(tokens: DataFrame, kind: str = "<u4") -> Corpus:
         df, docs, size = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
-                sizes, _, ids = _pairs(batch.column("ids").slice(at, AT_ONCE), kind)
-                found = np.bincount(ids)
+                sizes, ids = _few(batch.column("ids").slice(at, AT_ONCE), kind)
+                wide = np.uint32 if kind == "<u2" and AT_ONCE <= 1 << 16 else np.uint64
+                bits = 16 if wide is np.uint32 else 32
+                pairs = np.sort(np.repeat(np.arange(len(sizes), dtype=wide), sizes) << wide(bits) | ids.astype(wide))
+                first = np.concatenate([[True], pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, bool)
+                found = np.bincount((pairs[first] & wide((1 << bits) - 1)).astype(np.int64))
                 df = np.pad(df, (0, max(0, len(found) - len(df))))
                 df[: len(found)] += found
                 docs, size = docs + len(sizes), size + int(sizes.sum())
@@ -246,24 +264,28 @@ def corpus_of(tokens: DataFrame, kind: str = "<u4") -> Corpus:
     return Corpus(docs, size / max(docs, 1), df)
 
 
-def clocks(corpus: Corpus, signs: int = SIGNS) -> np.ndarray:
-    """A waiting time for each sign and id, the shorter the rarer the id: the id with the shortest is a document's min-hash."""
+def orders(corpus: Corpus, signs: int = SIGNS) -> tuple[np.ndarray, np.ndarray]:
+    """For each sign, all ids in order of random waiting times, which are the shorter the rarer an id is, and each id's place there.
+
+    A document's min-hash is the first of its ids.
+    """
     idf = np.log1p((corpus.docs - corpus.df + 0.5) / (corpus.df + 0.5))
     # an id of one document only can't be shared
-    return np.where(corpus.df > 1, np.random.default_rng(10).exponential(size=(signs, len(corpus.df))) / np.maximum(idf, 1e-12), np.inf)
+    waits = np.where(corpus.df > 1, np.random.default_rng(10).exponential(size=(signs, len(corpus.df))) / np.maximum(idf, 1e-12), np.inf)
+    ids = np.argsort(waits, axis=1, kind="stable")
+    places = np.empty_like(ids)
+    np.put_along_axis(places, ids, np.arange(ids.shape[1])[None, :], 1)
+    return ids.astype(np.uint32), places.astype(np.uint32)
 
 
-def _signed(column: pa.Array, waits: np.ndarray, kind: str) -> np.ndarray:
-    """64 bits for each document: its min-hashes, the first one highest."""
-    sizes, doc, ids = _pairs(column, kind)
-    heads = np.searchsorted(doc, np.arange(len(sizes)))
+def _signed(column: pa.Array, order: tuple[np.ndarray, np.ndarray], kind: str) -> np.ndarray:
+    """64 bits for each document: its min-hashes, the first one highest.  A document has one id at least."""
+    sizes, ids = _few(column, kind)
+    heads = np.cumsum(sizes) - sizes
     out = np.zeros(len(sizes), np.uint64)
-    for wait in waits:
-        own = wait[ids]
-        least = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(doc))))
-        pick = np.full(len(sizes), 1 << 62)
-        np.minimum.at(pick, doc, np.where(own == least, ids, 1 << 62))
-        out = (out << np.uint64(16)) | (pick.astype(np.uint64) & np.uint64(0xFFFF))
+    for first, place in zip(*order, strict=True):
+        least = first[np.minimum.reduceat(place[ids], heads)]
+        out = (out << np.uint64(16)) | (least.astype(np.uint64) & np.uint64(0xFFFF))
     return (out ^ np.uint64(1 << 63)).view(np.int64)  # in order as signed numbers
 
 
@@ -303,7 +325,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     corpus = corpus_of(rest, kind)
     total = round(corpus.mean * corpus.docs)
     parts = max(1, min(MOST_PARTS, -(-total // part_tokens)))
-    waits = clocks(corpus)
+    order = orders(corpus)
     # documents of one sign in an order that has nothing to do with their rows
     marked = rest.withColumn("mix", F.xxhash64("ids", "doc_id"))
 
@@ -312,7 +334,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
             for at in range(0, batch.num_rows, AT_ONCE):
                 few = batch.slice(at, AT_ONCE)
                 size = [x.as_buffer().size // np.dtype(kind).itemsize for x in few.column("ids")]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(few.column("ids"), waits, kind)), few.column("mix"), few.column("row"), pa.array(size, pa.int64())], names=["sign", "mix", "row", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(few.column("ids"), order, kind)), few.column("mix"), few.column("row"), pa.array(size, pa.int64())], names=["sign", "mix", "row", "size"])
             release()
 
     signs = settle(marked.select("ids", "mix", "row").mapInArrow(sign, "sign long, mix long, row long, size long"), "signs")
@@ -326,7 +348,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
             for at in range(0, batch.num_rows, AT_ONCE):
                 few = batch.slice(at, AT_ONCE)
                 own = np.zeros(few.num_rows, limits.dtype)
-                own["sign"], own["mix"], own["row"] = _signed(few.column("ids"), waits, kind), few.column("mix").to_numpy(), few.column("row").to_numpy()
+                own["sign"], own["mix"], own["row"] = _signed(few.column("ids"), order, kind), few.column("mix").to_numpy(), few.column("row").to_numpy()
                 part = np.searchsorted(limits, own, side="right")
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(own["sign"]), few.column("mix"), *(few.column(c) for c in columns)], names=keyed.names)
             release()
@@ -357,15 +379,15 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     def packed(group: pa.Table, shard: int) -> pa.RecordBatch:
         keys = group.column("doc_id").to_numpy(zero_copy_only=False)
         raw = [memoryview(x.as_buffer()) for c in group.column("ids").chunks for x in c]
-        order = sorted(range(len(raw)), key=lambda i: (keys[i] is None or keys[i] != keys[i], keys[i] if keys[i] == keys[i] else 0, len(raw[i]), zlib.crc32(raw[i])))
-        arrays = [np.frombuffer(raw[i], kind) for i in order]
+        taken = sorted(range(len(raw)), key=lambda i: (keys[i] is None or keys[i] != keys[i], keys[i] if keys[i] == keys[i] else 0, len(raw[i]), zlib.crc32(raw[i])))
+        arrays = [np.frombuffer(raw[i], kind) for i in taken]
         bounds = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)])
         ids = np.concatenate(arrays).astype("<u4")
         found = pack_shard(ids, bounds, window, corpus)
         doc, start, length, sequence, offset = (np.array([getattr(p, f) for p in found], np.int64) for f in ("doc", "start", "length", "sequence", "offset"))
         crc = [zlib.crc32(ids[a : a + k]) for a, k in zip(bounds[doc] + start, length, strict=True)]
-        place = pa.array(np.array(order, np.int64)[doc])
-        before = group.column("start").to_numpy()[order]
+        place = pa.array(np.array(taken, np.int64)[doc])
+        before = group.column("start").to_numpy()[taken]
         out = pa.RecordBatch.from_arrays([
             pa.concat_arrays(group.column("doc_id").chunks).take(place), pa.array(before[doc] + start), pa.array(length), pa.array(crc, pa.int64()), pa.concat_arrays(group.column("doc_tokens").chunks).take(place),
             pa.array((shard << 32) + sequence), pa.array(offset),
