@@ -57,7 +57,7 @@ PERCENT = 80
 #: Shingles that a group of step 1 has, about; ranges that shingles are dealt to at a time; and the most tasks that groups share.
 GROUP_SHINGLES, FAN, MOST_TASKS = 1_000_000, 512, 50_000
 #: Shingles and documents that a task gathers before it sends them to their groups.
-FLUSH_SHINGLES, FLUSH_DOCS = 2_000_000, 60_000
+FLUSH_SHINGLES, FLUSH_DOCS = 1_000_000, 60_000
 #: A run of documents has about so many bytes.
 RUN_BYTES = 1 << 20
 #: A shingle is hot in it if at least this many and one in HOT_SHARE have it ...
@@ -69,8 +69,8 @@ HOT_RANK = 0xFFFFFFFF
 MOST_CLASHES = 10_000
 CELLS = 256
 
-#: Postings of a shingle in a block, about, and how much larger a band's largest set is than its smallest.
-TOGETHER, BAND = 1000, 1.25
+#: Postings of a shingle in a block, about.
+TOGETHER = 1000
 #: Pairs that are looked at together.
 PAIRS = 200_000
 #: Partners that a document tries at a shingle in a round, and the most rounds before all pairs are tried.
@@ -202,7 +202,7 @@ _SENT = "grp long, hot boolean, marks binary, sizes binary, shingles binary, doc
 _COUNTED = "grp long, marks binary, sizes binary, counts binary, shingles binary, ranks binary"
 _SENT_SCHEMA = pa.schema([("grp", pa.int64()), ("hot", pa.bool_()), *((c, pa.binary()) for c in ("marks", "sizes", "shingles", "docs"))])
 #: Bytes of packed rows that go to Spark together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -219,8 +219,13 @@ def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
 def _rows(place: np.ndarray, h: np.ndarray, doc: np.ndarray, mark: np.ndarray, size: np.ndarray, is_hot: bool) -> Iterator[dict]:
     """A packed row for each place: the marks and sizes of its documents, its shingles, and whose they are."""
+    if not len(place):
+        return
+    low = int(place.min())
+    place = (place - _U(low)).astype(np.uint16 if int(place.max()) - low < 1 << 16 else np.uint64)
     order = np.argsort(place, kind="stable")
     place, h, doc = place[order], h[order], doc[order]
+    del order
     for a, z in zip(*runs(place), strict=True):
         if len(mark) <= z - a:
             flag = np.zeros(len(mark), bool)
@@ -231,7 +236,7 @@ def _rows(place: np.ndarray, h: np.ndarray, doc: np.ndarray, mark: np.ndarray, s
         for lo in range(0, len(there), 1 << 16):  # numbers have 16 bits
             mine = (number >= lo) & (number < lo + (1 << 16)) if len(there) > 1 << 16 else slice(None)
             own = there[lo : lo + (1 << 16)]
-            yield {"grp": int(place[a]), "hot": is_hot, "marks": mark[own].tobytes(), "sizes": size[own].astype("<u4").tobytes(), "shingles": _six(h[a:z][mine]), "docs": (number[mine] - lo).astype("<u2").tobytes()}
+            yield {"grp": low + int(place[a]), "hot": is_hot, "marks": mark[own].tobytes(), "sizes": size[own].astype("<u4").tobytes(), "shingles": _six(h[a:z][mine]), "docs": (number[mine] - lo).astype("<u2").tobytes()}
 
 
 def _send(docs: DataFrame, n: int, groups: int, step: int, hot: np.ndarray, clashing: np.ndarray) -> DataFrame:
@@ -253,10 +258,17 @@ def _send(docs: DataFrame, n: int, groups: int, step: int, hot: np.ndarray, clas
                 once = np.zeros(len(mark), bool)
                 once[firsts] = True
                 mine = once[doc]
-                h, doc = h[mine], doc[mine]
-                warm = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
-                yield from _batched(_rows(_group(h[~warm], groups) // _U(step), h[~warm], doc[~warm], mark, size, False), _SENT_SCHEMA)
-                yield from _batched(_rows(mark[doc[warm]] % _U(groups) // _U(step), h[warm], doc[warm], mark, size, True), _SENT_SCHEMA)
+                if not mine.all():
+                    h, doc = h[mine], doc[mine]
+                for x in (shingles, owners):
+                    x.clear()
+                warm = np.isin(h, hot) if len(hot) else np.zeros(0, bool)
+                if warm.any():
+                    own = doc[warm]
+                    yield from _batched(_rows(mark[own] % _U(groups) // _U(step), h[warm], own, mark, size, True), _SENT_SCHEMA)
+                    h, doc = h[~warm], doc[~warm]
+                del mine, warm
+                yield from _batched(_rows(_group(h, groups) // _U(step), h, doc, mark, size, False), _SENT_SCHEMA)
             for x in (shingles, owners, marks, sizes):
                 x.clear()
             held = n_docs = 0
@@ -268,7 +280,7 @@ def _send(docs: DataFrame, n: int, groups: int, step: int, hot: np.ndarray, clas
                     yield from flush()
                 sets = Sets.of(b, n, clashing)
                 shingles.append(sets.keys & ~_LOW)
-                owners.append((sets.keys & _LOW).astype(np.int64) + n_docs)
+                owners.append((sets.keys & _LOW).astype(np.int32) + np.int32(n_docs))
                 marks.append(sets.mark)
                 sizes.append(sets.size)
                 held += len(sets.keys)
@@ -524,7 +536,7 @@ def _tossed(shingle: np.ndarray, mark: np.ndarray, root: np.ndarray, seed: int)
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _apart(alive: DataFrame, first: int | None, chain: int) -> DataFrame:
+def _apart(alive: DataFrame, first: int | None, chain: int, percent: int) -> DataFrame:
     """Postings of the shingles that different components have, with the cells of their classes, by meeting (`meet`).
 
     A shingle with at most TOGETHER postings is one meeting.  Others are split into blocks by
@@ -538,7 +550,8 @@ def _apart(alive: DataFrame, first: int | None, chain: int) -> DataFrame:
     mixed = by_root.groupBy("shingle").agg(F.count("*").alias("roots"), F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("most")).where("roots > 1")
     blocks = lambda n: F.ceil(n / TOGETHER)
     mixed = mixed.select("shingle", F.col("most.root").alias("main"), (F.col("n") > TOGETHER).alias("split"), blocks(F.col("n")).alias("all"), blocks(F.col("most.count")).alias("mains"), blocks(F.col("n") - F.col("most.count")).alias("rests"))
-    band = F.floor(F.log("size") / math.log(BAND)).cast("long")
+    # sets that can be similar are of one band or of adjacent ones
+    band = F.floor(F.log("size") / math.log(100 / percent)).cast("long") if percent < 100 else F.col("size")
     block = lambda salts: band * F.col(salts) + F.pmod(F.xxhash64("mark", "shingle", F.lit(chain)), F.col(salts))
     near = lambda salts: F.sequence((band - 1) * F.col(salts), (band + 2) * F.col(salts) - 1)
     meeting = lambda kind, x, y, side: F.struct(F.xxhash64("shingle", F.lit(kind), x, y).alias("meet"), side.cast("long").alias("side"))
@@ -690,7 +703,7 @@ def link_classes(alive: DataFrame, percent: int = PERCENT) -> DataFrame:
     chain, first = 1, 2
     while True:
         placed = alive.withColumn("root", F.col("mark")) if roots is None else alive.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-        pairs = _candidates(_apart(placed, first, chain), chain, percent)
+        pairs = _candidates(_apart(placed, first, chain, percent), chain, percent)
         if looked is not None:
             pairs = pairs.join(looked, ["a", "b"], "left_anti")
         more = settle(_verified(pairs, alive, percent), "verified")

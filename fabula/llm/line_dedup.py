@@ -283,6 +283,21 @@ def later_copies(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return out
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (at, m) of each document that overlap or meet as one, two numbers of 32 bits each."""
+    for batch in batches:
+        packed = []
+        for runs in batch.column("runs").to_pylist():
+            out: list[list[int]] = []
+            for at, m in sorted((r["at"], r["m"]) for r in runs):
+                if out and at <= out[-1][0] + out[-1][1]:
+                    out[-1][1] = max(out[-1][1], at + m - out[-1][0])
+                else:
+                    out.append([at, m])
+            packed.append(np.array(out, "<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc2"), pa.array(packed, pa.binary())], names=["__doc", "__doc2", "__runs"])
+
+
 def without(texts: TextBatch, runs: list[list[tuple[int, int]]]) -> tuple[list[str], np.ndarray]:
     """Each text without the lines of its runs (first line with a word, number of them), and the number of lines that went."""
     starts, ends, owner, words = texts.lines
@@ -314,11 +329,11 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: i
     lines = settle(_lines(docs), "lines")
     later = later_copies(lines, least)
     drop(lines)
-    # as many runs as the document has lines, at most twice
-    runs = settle(later.groupBy(F.col("doc").alias("__doc"), F.col("doc2").alias("__doc2")).agg(F.collect_list(F.struct("at", "m")).alias("__runs")), "runs")
-    # lists of runs are as long as a document has lines, so both are counted
-    few = runs.agg(F.count("*").alias("docs"), F.sum(F.size("__runs")).alias("runs")).first()
-    if few["docs"] + (few["runs"] or 0) / 4 <= BROADCAST_DOCS:
+    # as many runs as the document has lines, at most twice; put together where they meet
+    lists = later.groupBy("doc", "doc2").agg(F.collect_list(F.struct("at", "m")).alias("runs"))
+    runs = settle(lists.mapInArrow(_merged, "__doc long, __doc2 long, __runs binary"), "runs")
+    few = runs.agg(F.count("*").alias("docs"), F.sum(F.length("__runs")).alias("bytes")).first()
+    if few["docs"] + (few["bytes"] or 0) / 64 <= BROADCAST_DOCS:
         runs = F.broadcast(runs)
     columns = [f"__{i}" for i in range(len(df.columns))]
     marked = df.withColumns({"__doc": doc, "__doc2": doc2}).join(runs, ["__doc", "__doc2"], "left")
@@ -327,7 +342,7 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, b in chunks(batch, columns[place]):
-                cut, gone = without(b, [[(r["at"], r["m"]) for r in x] if x else [] for x in part.column("__runs").to_pylist()])
+                cut, gone = without(b, [np.frombuffer(x, "<i4").reshape(-1, 2).tolist() if x else [] for x in part.column("__runs").to_pylist()])
                 null = part.column(columns[place]).is_null().to_numpy(zero_copy_only=False)
                 fresh = TextBatch.of(cut)
                 new = pa.array(cut, pa.string(), mask=null)
