@@ -13,6 +13,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +37,30 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: What goes to a Python worker at a time while a table is settled: whole texts and packed arrays are large rows.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Holds BATCHES in the session, and gives it its own settings back."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def settle(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write df to the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = f"{folder(spark)}/fabula-{name}-{uuid.uuid4().hex}"
     _settled[path] = spark
-    df.write.options(**(options or {})).parquet(path)
+    with _small_batches(spark):
+        df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out
