@@ -1,111 +1,193 @@
 """Token ids of whole texts, by way of their different words.
 
 For a tokenizer that drops white space and never joins across it, the ids of a
-text are those of its words in a row.  Each different word is encoded once in a
-task and kept, and texts are put together from these by array lookups.
+text are those of its words in a row.  Each different word (of plain ones the letters,
+whatever their case, and the punctuation after them) is encoded once in a worker and
+kept, and texts are put together from these by array lookups.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
+import string
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-from .textbatch import TextBatch
+from .textbatch import _LOWER, TextBatch
 
-#: Words kept at a time (about 40 bytes each); beyond that all are forgotten and encoded anew when met.
+#: Units kept at a time (about 45 bytes each); beyond that all are forgotten and encoded anew when met.
 MOST_WORDS = 800_000
-#: Words encoded in one call.
+#: Units encoded in one call.
 AT_ONCE = 4096
+#: Slots of the smallest table of units.
+LEAST_SLOTS = 1 << 12
 
-#: Latin letters up to here are letters in every version of Unicode and composed already.
-_PLAIN_LETTERS = "\u024f"
-_STOPS = ".,;:!?"
+#: Letters of two bytes that begin with one of these are letters in every version of Unicode and composed already.
+_LEADS = range(0xC3, 0xC9)
+#: 0 for ASCII letters, 1 for ASCII punctuation, 2 for other bytes.
+_KIND = np.array([0 if chr(i).isalpha() and i < 128 else 1 if 33 <= i < 127 and not chr(i).isdigit() else 2 for i in range(256)], np.uint8)
 
 
 class WordTokenizer:
-    """Ids by a `tokenizers` file whose normaliser and pre-tokeniser treat words one by one."""
+    """Ids by a `tokenizers` file whose normaliser and pre-tokeniser treat words one by one.
+
+    A plain word, Latin letters with ASCII punctuation after them or without, is looked
+    up as two units: the normaliser only lower-cases it, and its letters and its
+    punctuation are pre-tokens of their own.  Any other word is one unit.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         # the characters that stand for bytes in the vocabulary
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes_of = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(ord(_PLAIN_LETTERS) + 1) if chr(i).isalpha()}
+        letters = [bytes([lead, after]).decode() for lead in _LEADS for after in range(0x80, 0xC0)]
+        # a letter is plain if its lower case is one letter, and such a one too
+        plain = {c for c in letters if c.isalpha() and c.lower().isalpha() and c.lower() in letters}
+        self.plain = np.array([c in plain for c in letters])
+        written = [" "] * 256
+        for c in (*plain, *string.ascii_lowercase):
+            for byte, char in zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True):
+                written[byte] = char
+        self.written = "".join(written)
+        # the same model on letters that are normalised and written as bytes already
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.width = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
         self._forget()
 
-    def _plain(self, word: str) -> list[int] | None:
-        """Ids of letters with stops after them, straight from the model: the normaliser
-        only lower-cases these, and letters and stops are pre-tokens of their own."""
-        core = word.rstrip(_STOPS)
-        if not core.isalpha() or max(core) > _PLAIN_LETTERS:
-            return None
-        lower = core.lower()
-        if not lower.isalpha():
-            return None
-        if not lower.isascii():
-            lower = lower.translate(self.bytes_of)
-        model = self.tokenizer.model
-        out = [t.id for t in model.tokenize(lower)]
-        if len(core) < len(word):
-            tail = word[len(core) :]
-            if tail not in self.stops:
-                self.stops[tail] = [t.id for t in model.tokenize(tail)]
-            out += self.stops[tail]
-        return out
-
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        out = [self._plain(w) for w in words]
-        rest = [i for i, x in enumerate(out) if x is None]
+    def _encode(self, units: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, those of plain letters first, and each unit's number of ids in that order."""
+        ids, sizes = [], []
+        letters = [units[i] for i in np.flatnonzero(plain)]
+        for at in range(0, len(letters), AT_ONCE):
+            some = codecs.charmap_decode(" ".join(letters[at : at + AT_ONCE]).lower().encode(), "strict", self.written)[0]
+            found = np.array(self.model.encode_batch_fast([some], add_special_tokens=False)[0].ids, self.width)
+            ends = np.flatnonzero(self.ends[found]) + 1
+            if len(ends) != some.count(" ") + 1:  # a model that doesn't mark the ends of words
+                each = [[t.id for t in self.tokenizer.model.tokenize(w)] for w in some.split(" ")]
+                found, ends = np.array([i for x in each for i in x], self.width), np.cumsum([len(x) for x in each])
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        rest = [units[i] for i in np.flatnonzero(~plain)]
         for at in range(0, len(rest), AT_ONCE):
-            some = rest[at : at + AT_ONCE]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
-                out[i] = e.ids
-        return out
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(rest[at : at + AT_ONCE], add_special_tokens=False)]
+            ids.append(np.array([i for x in each for i in x], self.width))
+            sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known words
-        self.place = np.zeros(0, np.int64)
+        self.keys = np.zeros(LEAST_SLOTS, np.uint64)  # hashes of known units where they lie, else 0
+        self.place = np.zeros(LEAST_SLOTS, np.int32)
+        self.known = 0
         self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-        self.stops: dict[str, list[int]] = {}
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(hashes) > MOST_WORDS:
-            self._forget()
-        encoded = self._encode(words)
-        known = len(self.starts) - 1
-        sizes = np.array([len(x) for x in encoded], np.int64)
+        self.ids = np.zeros(0, self.width)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or the empty one where it would lie."""
+        last = len(self.keys) - 1
+        slots = (hashes & np.uint64(last)).astype(np.int64)
+        there = self.keys[slots]
+        left = np.flatnonzero((there != hashes) & (there != 0))
+        while len(left):
+            at = slots[left] = (slots[left] + 1) & last
+            there = self.keys[at]
+            left = left[(there != hashes[left]) & (there != 0)]
+        return slots
+
+    def _put(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        """Different hashes that aren't known."""
+        while len(hashes):
+            slots = self._find(hashes)
+            self.keys[slots] = hashes  # one of those that want the same slot gets it
+            done = self.keys[slots] == hashes
+            self.place[slots[done]] = places[done]
+            hashes, places = hashes[~done], places[~done]
+
+    def _learn(self, hashes: np.ndarray, units: list[str], plain: np.ndarray) -> None:
+        ids, sizes = self._encode(units, plain)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in encoded for i in x), np.uint32, int(sizes.sum()))])
-        at = np.searchsorted(self.keys, hashes)  # hashes are sorted and new
-        self.keys = np.insert(self.keys, at, hashes)
-        self.place = np.insert(self.place, at, np.arange(known, known + len(hashes)))
+        self.ids = np.concatenate([self.ids, ids])
+        places = np.empty(len(hashes), np.int32)
+        places[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(self.known, self.known + len(hashes))
+        self.known += len(hashes)
+        if 2 * self.known > len(self.keys):
+            slots = np.flatnonzero(self.keys)
+            keys, before = self.keys[slots], self.place[slots]
+            size = 1 << (2 * self.known).bit_length()
+            self.keys, self.place = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._put(keys, before)
+        self._put(hashes, places)
+
+    def _units(self, b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends, hashes and whether they are plain letters of all units, and n + 1 bounds of the texts in them."""
+        starts, ends = b._word_spans
+        data = b.data
+        kind = _KIND[data]
+        lead = np.flatnonzero((data >= _LEADS[0]) & (data <= _LEADS[-1]))
+        after = data[np.minimum(lead + 1, len(data) - 1)]
+        good = lead[((after & 0xC0) == 0x80) & self.plain[(data[lead].astype(np.int64) - _LEADS[0]) * 64 + (after & 63)]]
+        kind[good] = kind[good + 1] = 0
+        stops = np.flatnonzero(kind)
+        rank = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(kind != 0, out=rank[1:])
+        before, upto = rank[starts], rank[ends]
+        core = np.minimum(np.append(stops, len(data))[before], ends)
+        # letters that nothing but punctuation follows
+        others = np.concatenate([[0], np.cumsum(kind[stops] > 1)])
+        plain = (core > starts) & (upto - before == ends - core) & (others[upto] == others[before])
+        # not a letter whose bytes two texts have
+        plain &= (data[ends - 1] < 0xC0) & ((data[starts] & 0xC0) != 0x80)
+        core = np.where(plain, core, ends)
+        tail = core < ends
+        # capitals of plain words are lower-cased, of others they aren't
+        folded = _LOWER[data]
+        capitals = np.flatnonzero(folded != data)
+        capitals = capitals[~plain[np.searchsorted(starts, capitals, side="right") - 1]]
+        folded[capitals] = data[capitals]
+        # a plain word's punctuation comes after its letters
+        upto = np.concatenate([[0], np.cumsum(tail)])
+        word = np.arange(len(starts)) + upto[:-1]
+        first, last = np.empty((2, len(starts) + int(upto[-1])), np.int64)
+        letters = np.zeros(len(first), bool)
+        first[word], last[word], letters[word] = starts, core, plain
+        first[word[tail] + 1], last[word[tail] + 1] = core[tail], ends[tail]
+        hashes = np.maximum(TextBatch(folded, b.bounds).hash_spans(first, last), 1)
+        return first, last, hashes, letters, b.word_bounds + upto[b.word_bounds]
 
     def encode(self, b: TextBatch) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and n + 1 bounds of the texts in them."""
-        starts, ends = b._word_spans
-        hashes, first, which = np.unique(b.word_hashes(), return_index=True, return_inverse=True)
+        starts, ends, hashes, letters, bounds = self._units(b)
         if not len(hashes):
-            return np.zeros(0, np.uint32), np.zeros(b.n + 1, np.int64)
-        new = ~np.isin(hashes, self.keys, assume_unique=True)
-        if new.any():
+            return np.zeros(0, self.width), np.zeros(b.n + 1, np.int64)
+        slots = self._find(hashes)
+        missing = np.flatnonzero(self.keys[slots] == 0)
+        if len(missing):
             # what is new is learnt; had there been no room, all of this batch is
-            data = b.data.tobytes()
-            if len(self.keys) + int(new.sum()) > MOST_WORDS:
+            new, first = np.unique(hashes[missing], return_index=True)
+            if self.known + len(new) > MOST_WORDS:
                 self._forget()
-                new[:] = True
-            self._learn(hashes[new], [data[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
-        known = self.place[np.searchsorted(self.keys, hashes)][which]
+                missing = np.arange(len(hashes))
+                new, first = np.unique(hashes, return_index=True)
+            some = missing[first]
+            data = b.data.tobytes()
+            self._learn(new, [data[i:j].decode("utf-8", "replace") for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], letters[some])
+            slots = self._find(hashes)
+        known = self.place[slots]
         sizes = self.starts[known + 1] - self.starts[known]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         at = np.arange(upto[-1]) - np.repeat(upto[:-1] - self.starts[known], sizes)
-        return self.ids[at], upto[b.word_bounds]
+        return self.ids[at], upto[bounds]
 
 
 @cache

@@ -88,6 +88,36 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert words.encode(TextBatch.of([text]))[0].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_letter_and_stop_of_plain_words():
+    words = WordTokenizer(tokenizer_path())
+    letters = [chr(i) for i in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xAA, 0x250))]
+    stops = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+    texts = [f"{a}{c}{b}" for c in letters for a, b in (("", ""), ("x", "Y"), ("R", ".'"), ("<|", "|>"))] + [f"aé{s}{t}" for s in stops for t in ("", "'", "<|", "s")]
+    for some in ([" ".join(texts)], texts, [t.upper() for t in texts], []):
+        ids, bounds = words.encode(TextBatch.of(some))
+        for i, t in enumerate(some):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_halves_of_a_letter_in_two_texts_are_none():
+    words = WordTokenizer(tokenizer_path())
+    raw = [b"ab\xc3", b"\xa9cd", b"\xc3b", b"e\xc3"]
+    b = TextBatch(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    ids, bounds = words.encode(b)
+    for i, x in enumerate(raw):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == words.tokenizer.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+
+def test_forms_of_a_word_are_encoded_once(monkeypatch):
+    asked = []
+    encode = WordTokenizer._encode
+    monkeypatch.setattr(WordTokenizer, "_encode", lambda self, units, *rest: asked.extend(units) or encode(self, units, *rest))
+    words = WordTokenizer(tokenizer_path())
+    for text in ("River river, RIVER. river;", "(river) river%%% RIVER, stone, Stone", "river. STONE; river%%%"):
+        assert words.encode(TextBatch.of([text]))[0].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) and sorted(x.lower() for x in asked) == sorted(["river", ",", ".", ";", "(river)", "%%%", "stone"])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=30), st.integers(0, 2**20))
 def test_every_id_is_in_one_piece(sizes, seed):
