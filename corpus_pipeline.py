@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; docs are what the
 stage before it returned, written as Parquet and read again.  All but the last
-return the columns of documents.
+return the columns of documents.  Where a result's rows go through Python when it is
+read, the session is left with small batches for its workers until `scratch.clear`.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ BROADCAST_ROWS = 500_000
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
+    scratch.hold_batches(spark)
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality_classifier.score(docs, model, column="__score", carry=tuple(docs.columns))
     return scored.where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
@@ -31,6 +33,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of runs of lines; a document that loses all of its words goes."""
+    scratch.hold_batches(spark)
     done = line_dedup.dedup_lines(docs, counts=("__deleted", "__before", "__left"))
     left = done.where((F.col("__left") > 0) | (F.col("__deleted") == 0))
     return _columns(left, docs)
@@ -60,6 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the documents' tokens into pieces in windows of 4096."""
+    scratch.hold_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

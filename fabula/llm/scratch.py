@@ -37,7 +37,8 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: What goes to a Python worker at a time while a table is settled: whole texts and packed arrays are large rows.
+#: What goes to a Python worker at a time while a table is settled, or read after `hold_batches`: whole texts and
+#: packed arrays are large rows, and a batch is held several times, in the executor's direct memory and in the worker.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
@@ -54,6 +55,20 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_held: list[tuple[SparkSession, str]] = []
+
+
+def hold_batches(spark: SparkSession) -> None:
+    """Holds BATCHES until `clear`, for a result whose Python functions run only when it is written.
+
+    Spark reads these settings then, from the session.  What the session has set itself stays.
+    """
+    for k, v in BATCHES.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+            _held.append((spark, k))
+
+
 def settle(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write df to the shared folder and return it as read from there."""
     spark = df.sparkSession
@@ -92,7 +107,10 @@ def tables() -> frozenset[str]:
 
 
 def clear(before: frozenset[str] = frozenset(), keep: DataFrame | None = None) -> None:
-    """Remove all tables settled since `before` but that of `keep`; results that read them must have been written."""
+    """Remove all tables settled since `before` but that of `keep`, and what `hold_batches` set; results that read them must have been written."""
+    while _held:
+        session, setting = _held.pop()
+        session.conf.unset(setting)
     kept = _name(keep)
     for path in [p for p in _settled if p not in before and p.rpartition("/")[2] != kept]:
         _delete(_settled.pop(path), path)

@@ -41,3 +41,33 @@ def test_a_cluster_must_name_its_folder():
     fake, made = session("local[4]")
     assert scratch.folder(fake) == made[0] and made[0].startswith("file://")
     assert scratch.folder(session("local[4]", directory="file:/x/")[0]) == "file:/x"
+
+
+def test_results_read_later_go_to_workers_in_small_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    import corpus_pipeline as P
+
+    def largest(df):
+        count = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+        return max(r["n"] for r in df.mapInArrow(count, "n long").collect())
+
+    most = {k: spark.conf.get(k, None) for k in scratch.BATCHES}
+    before, rows = scratch.tables(), int(scratch.BATCHES["spark.sql.execution.arrow.maxRecordsPerBatch"])
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.range(3 * rows, numPartitions=1).selectExpr("id doc_id", "concat('one text of number ', id) text")
+    assert largest(docs) > rows
+    for stage in (P.classify_quality, P.dedup_lines, P.pack_sequences):
+        stage(spark, docs, str(tmp_path))
+        assert largest(docs) <= rows, stage
+        scratch.clear(before)
+        assert {k: spark.conf.get(k, None) for k in scratch.BATCHES} == most
+    # what a session has set itself stays
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "7")
+    try:
+        scratch.hold_batches(spark)
+        scratch.clear(before)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.unset(key)
